@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, simhash
-from .common import table
+from . import chat, decontaminate, mixing, simhash, warc
+from .common import table, work_dir
 
 
 def quality_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    out = warc.read_archive(spark, path, with_payload=False)
+    return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"), "complete")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -47,4 +54,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op7_simhash, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op7_simhash, op8_warc, op10_chat_format)}
