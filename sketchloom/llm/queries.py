@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, simhash, warc
-from .common import table, work_dir
+from . import chat, decontaminate, langid, mixing, quality, simhash, warc
+from .common import held_out, table, work_dir
 
 
 def quality_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"), learn=~held_out("id"))
+    out = quality.score_quality(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select(
@@ -34,6 +41,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train_language(docs, learn=~held_out())
+    out = langid.predict_language(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -54,4 +68,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op7_simhash, op8_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_decontaminate, op6_language, op7_simhash, op8_warc, op10_chat_format)}
