@@ -19,9 +19,9 @@ digest; an empty table gives an archive without records; extra columns are ignor
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,7 +98,7 @@ def records_of(page_id: str, unique: int, url: str | None, payload: bytes, diges
 
 
 def write_archive(
-    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", segment_bytes: int = 32 << 10, min_revisit_bytes: int = 0, records_per_file: int = 10_000
+    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", segment_bytes: int = 32 << 10, min_revisit_bytes: int = 0, records_per_file: int = 2_500
 ) -> None:
     """Write `pages` as gzipped WARC files under `path`."""
     base = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
@@ -112,12 +112,14 @@ def write_archive(
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
+            held = 0
             for r in zip(*(batch.column(c) for c in ("id", "unique", "url", "payload", "sha", "origin")), strict=True):
                 i, u, link, body, sha, origin = (x.as_py() for x in r)
                 out += records_of(i, u, link, body, base64.b32encode(bytes.fromhex(sha)).decode(), origin, date, segment_bytes)
-                if len(out) >= 1000:
+                held += len(body)
+                if held > 2_000_000 or len(out) >= 1000:
                     yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
-                    out = []
+                    out, held = [], 0
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
     # each value is a whole record; the writer's line separator is the pair of line ends that closes it
@@ -127,19 +129,13 @@ def write_archive(
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of a file, gzipped (one member or many) or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(data) + d.flush())
-            data = d.unused_data
-        data = b"".join(parts)
-    f = io.BytesIO(data)
+    # decompressed as it is read, so that only one record is held beside the file
+    f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := f.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record starts at {f.tell() - len(line)}")
+            raise ValueError(f"no record starts with {line[:60]!r}")
         head: dict[str, str] = {}
         while (line := f.readline().rstrip(b"\r\n")):
             k, _, v = line.decode().partition(":")
@@ -195,7 +191,7 @@ def _parse(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa
                 }
                 rows.append(r if number else _finish(r, block, with_payload))
                 held += len(rows[-1]["body"] or b"") + 500
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield _table(rows)
                     rows, held = [], 0
             if rows:
