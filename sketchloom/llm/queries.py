@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, quality, simhash, warc
+from . import ann, chat, decontaminate, langid, mixing, quality, simhash, warc
 from .common import held_out, table, work_dir
 
 
@@ -60,6 +60,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"), "complete")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), is_query="id % 50 = 0", k=5)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -68,4 +72,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_decontaminate, op6_language, op7_simhash, op8_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_decontaminate, op6_language, op7_simhash, op8_warc, op9_nearest, op10_chat_format)}
