@@ -86,5 +86,32 @@ from d left join h using (uid) left join it using (uid)
 """
 
 
+#: Templates as strings where the operator has hashes of them.
+OP5 = r"""
+with d as (select row_number() over () as uid, doc_id, text from documents),
+l as (
+  select uid, k, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as tok
+  from (select uid, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from d where text is not null)
+), m as (
+  select uid, k, len(tok) as n, tok, list_transform(tok, lambda t: case when regexp_matches(t, '[0-9]') then chr(0) else t end) as mask from l where len(tok) >= 3
+), s as (
+  select uid, k, n::varchar || '=' || array_to_string(case when 2 * len(list_filter(mask, lambda t: t <> chr(0))) >= n then mask else tok end, ' ') as sig from m
+  union all
+  select uid, k, n::varchar || '<' || array_to_string(c, ' ') from (select uid, k, n, mask[1:2 + (n - 2) // 2] as c from m where n >= 8) where 2 * len(list_filter(c, lambda t: t <> chr(0))) >= n
+  union all
+  select uid, k, n::varchar || '>' || array_to_string(c, ' ') from (select uid, k, n, list_concat(mask[1:2], mask[3 + (n - 2) // 2:]) as c from m where n >= 8) where 2 * len(list_filter(c, lambda t: t <> chr(0))) >= n
+), r as (select sig from s group by sig having count(distinct uid) >= 5),
+g as (select distinct uid, k from s join r using (sig)),
+o as (
+  select l.uid, count(*) as n_lines, count(g.uid) as n_dropped,
+         coalesce(string_agg(case when g.uid is null then line end, chr(10) order by l.k), '') as kept
+  from l left join g on l.uid = g.uid and l.k = g.k group by l.uid
+)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped,
+       sha256(coalesce(kept, '')) as kept_sha256, octet_length(encode(coalesce(kept, '')))::bigint as kept_bytes
+from d left join o using (uid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op10_chat_format": OP10}
+    return {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op5_line_dedup": OP5, "op10_chat_format": OP10}

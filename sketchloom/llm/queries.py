@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, mixing, quality, simhash, warc
+from . import ann, chat, decontaminate, langid, lines, mixing, quality, simhash, warc
 from .common import held_out, table, work_dir
 
 
@@ -41,6 +41,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"), F.octet_length(kept).cast("long").alias("kept_bytes"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train_language(docs, learn=~held_out())
@@ -72,4 +78,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_decontaminate, op6_language, op7_simhash, op8_warc, op9_nearest, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_decontaminate, op5_line_dedup, op6_language, op7_simhash, op8_warc, op9_nearest, op10_chat_format)}
