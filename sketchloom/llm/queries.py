@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, lines, mixing, quality, simhash, warc
+from . import ann, chat, decontaminate, langid, lines, mixing, quality, simhash, suffix, warc
 from .common import held_out, table, work_dir
 
 
@@ -41,6 +41,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce(F.col("text"), F.lit(""))
@@ -78,4 +83,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_decontaminate, op5_line_dedup, op6_language, op7_simhash, op8_warc, op9_nearest, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_decontaminate, op4_suffix_dedup, op5_line_dedup, op6_language, op7_simhash, op8_warc, op9_nearest, op10_chat_format)}
