@@ -152,51 +152,45 @@ def _bucket_links(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: in
     if not big.any():
         return node[:0], node[:0]
     edge, size = edge[big], size[big]
-    blocks = -(-size // 64)
-    first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-    which = np.repeat(np.arange(len(size)), size)
+    end = np.repeat(np.cumsum(size), size)  # of each row's bucket; buckets stand one after the other
     within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    place = first[which] * 64 + within  # each bucket starts at a block of its own
-    source = edge[which] + within
-    padded = np.zeros((int(blocks.sum()) * 64, fp.shape[1]), np.uint8)
-    padded[place] = fp[source]
-    real = np.zeros(len(padded), bool)
-    real[place] = True
-    valid = np.packbits(real, bitorder="little").view(np.uint64)
-    planes, bits = bit_planes(padded), np.unpackbits(padded, axis=1)
-    last = (first + blocks)[which]
-    pairs = last - place // 64  # this row against its own block and those after it in the bucket
+    source = np.repeat(edge, size) + within
+    rows_all = len(source)
+    packed = np.zeros((-(-rows_all // 64) * 64, fp.shape[1]), np.uint8)
+    packed[:rows_all] = fp[source]
+    planes, bits = bit_planes(packed), np.unpackbits(packed[:rows_all], axis=1)
+    pairs = (end - 1) // 64 - np.arange(rows_all) // 64 + 1  # this row against its own block and those after it in the bucket
     to, at = [], []
     begin = 0
     total = np.cumsum(pairs)
-    while begin < len(place):
-        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
-        n = pairs[begin:end]
-        rows = np.repeat(place[begin:end], n)
+    while begin < rows_all:
+        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
+        n = pairs[begin:stop]
+        rows = np.repeat(np.arange(begin, stop), n)
         blks = rows // 64 + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         alive, word = sliced_within(planes, bits, rows, blks, radius)
         rows, blks = rows[alive], blks[alive]
-        own = rows // 64 == blks
-        later = np.where(rows % 64 == 63, np.uint64(0), np.uint64(2**64 - 1) << (np.minimum(rows % 64 + 1, 63)).astype(np.uint64))
-        word = word & valid[blks] & np.where(own, later, np.uint64(2**64 - 1))
+        word = word & _lanes(end[rows] - blks * 64) & ~_lanes(rows + 1 - blks * 64)  # later rows of the same bucket
         hit = np.flatnonzero(word)
         on = np.unpackbits(word[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         i, j = np.nonzero(on)
         to.append(rows[hit][i])
         at.append(blks[hit][i] * 64 + j)
-        begin = end
+        begin = stop
     a, b = np.concatenate(to), np.concatenate(at)
-    if not len(a):
-        return node[:0], node[:0]
-    root = local_roots(len(padded), a, b)
-    child = np.flatnonzero((root != np.arange(len(padded))) & real)
-    number = np.zeros(len(padded), node.dtype)
-    number[place] = node[source]
-    return number[child], number[root[child]]
+    root = local_roots(rows_all, a, b)
+    child = np.flatnonzero(root != np.arange(rows_all))
+    return node[source][child], node[source][root[child]]
+
+
+def _lanes(n: np.ndarray) -> np.ndarray:
+    """Words with the n lowest bits set, n cut to 0 .. 64."""
+    n = np.clip(n, 0, 64).astype(np.uint64)
+    return np.where(n == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(n, np.uint64(63))) - np.uint64(1))
 
 
-def _linked(batches: Iterator[pa.RecordBatch], radius: int, most_rows: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; whole buckets are compared some hundred thousand rows at a time."""
+def _linked(batches: Iterator[pa.RecordBatch], radius: int, most_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; whole buckets are compared some ten thousand rows at a time."""
 
     def flush(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
