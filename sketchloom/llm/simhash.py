@@ -237,12 +237,13 @@ def near_duplicates(
     block = lambda i: F.substring("fp", 2 * i + 1, 2)
     keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.concat(*[block(i) for i in s]) for s in sets])).alias("set", "part"))
     keyed = keyed.select("node", "fp", F.concat(F.substring(F.unhex(F.lpad(F.hex("set"), 8, "0")), 3, 2), "part").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    pairs = keyed.join(sizes.where("n > 1"), "key")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    both = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.concat("key", F.unhex(F.lpad(F.hex(F.least(mine, j)), 8, "0")), F.unhex(F.lpad(F.hex(F.greatest(mine, j)), 8, "0"))))
-    pairs = pairs.select("node", "fp", F.explode(F.when(F.col("n") <= tile, F.array("key")).otherwise(both)).alias("key"))
+    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile))  # few; its size decides how it is joined
+    n = F.coalesce(F.col("n"), F.lit(0))
+    tiles = F.ceil(n / tile).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1))).cast("int")
+    number = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
+    both = F.transform(F.sequence(F.lit(0), F.greatest(tiles - 1, F.lit(0))), lambda j: F.concat("key", number(F.least(mine, j)), number(F.greatest(mine, j))))
+    pairs = keyed.join(hot, "key", "left").select("node", "fp", F.explode(F.when(n <= tile, F.array("key")).otherwise(both)).alias("key"))
     pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
     links = pairs.mapInArrow(lambda b: _linked(b, radius), "a long, b long")
     roots = connected_components(links)
