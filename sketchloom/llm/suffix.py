@@ -324,9 +324,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = base.select(F.xxhash64("t").alias("d"), "t").where(F.octet_length("t") >= width)
     anchors = keep(keyed.mapInArrow(lambda b: _anchors(b, width, kgram), "h long, d long, at long, more int").groupBy("h", "d", "at", "more").agg(F.count("*").alias("m")))
     _release(spark)
-    often = anchors.groupBy("h").agg(F.sum("m").alias("n")).where("n > 1").select("h")
+    # written out, so that the join deals both sides itself and can split a hot anchor's rows
+    often = keep(anchors.groupBy("h").agg(F.sum("m").alias("n")).where("n > 1").select("h"))
+    _release(spark)
     repeated = keep(anchors.join(often, "h").select("h", "d", "at", "more", "m"))
-    drop_path(spark, paths[0])
+    for p in paths[:2]:
+        drop_path(spark, p)
     _release(spark)
 
     # 2. neighbourhoods, from each distinct text once
@@ -349,17 +352,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     _release(spark)
 
     # 4. back to the occurrences: whole neighbourhoods that occur twice, and the runs of the others
-    often = found.groupBy("c").agg(F.sum("m").alias("w")).where("w > 1").select(F.col("c").alias("c2"))
-    told = shared.groupBy("c").agg(F.first("runs").alias("runs")).join(often, F.col("c") == F.col("c2"), "full").select(F.coalesce("c", "c2").alias("c"), F.when(F.col("c2").isNull(), F.col("runs")).alias("runs"))
+    twice = found.groupBy("c").agg(F.sum("m").alias("w")).where("w > 1").select(F.col("c").alias("c2"))
+    told = shared.groupBy("c").agg(F.first("runs").alias("runs")).join(twice, F.col("c") == F.col("c2"), "full").select(F.coalesce("c", "c2").alias("c"), F.when(F.col("c2").isNull(), F.col("runs")).alias("runs"))
+    told = keep(told)
+    _release(spark)
     spots = found.select("c", "e", "at", "more").join(told, "c")
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("at") + F.get("runs", i)).alias("a"), (F.col("at") + F.get("runs", i + 1) + width - 1).alias("b")))
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("more") + width).alias("b")))
     gone = spots.select("e", F.when(F.col("runs").isNull(), whole).otherwise(pairs).alias("r")).groupBy("e").agg(F.flatten(F.collect_list("r")).alias("runs"))
     gone = keep(gone)
-    for p in paths[1:-1]:
+    for p in paths[2:-1]:
         drop_path(spark, p)
     _release(spark)
     cut = packed.dropDuplicates(["e"]).join(gone, "e", "left").select("e", "z", "runs")
     done = cut.mapInArrow(lambda b: _cut(b, with_text), "e binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    done = done if with_text else done.drop("kept")
+    done = done if with_text else keep(done.drop("kept"))  # a narrow table, so copies can be joined to it evenly
     return base.select("id", F.unhex(F.md5("t")).alias("e")).join(done, "e").drop("e")
