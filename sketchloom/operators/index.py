@@ -86,6 +86,11 @@ class CodeIndex:
         self.table = path.withColumn("leaf_id", leaf)
         return self
 
+    def save(self, table: str, buckets: int = 200) -> CodeIndex:
+        """Store the rows as a table bucketed by leaf: queries then read only leaves' rows without shuffling the codes."""
+        self.table.write.mode("overwrite").format("parquet").bucketBy(buckets, "leaf_id").sortBy("leaf_id").saveAsTable(table)
+        return CodeIndex(self.table.sparkSession.table(table), self.total_bits, self.layer_bits, self.fanout, self.word_bits)
+
     @property
     def height(self) -> int:
         return -(-self.total_bits // self.layer_bits)

@@ -32,6 +32,12 @@ def _codes(data: DataFrame, n_bits: int = 64, first: int = 0) -> DataFrame:
     return encode.encode(data, centers, W, keep=["vec_id"])
 
 
+def _pair(data: DataFrame, n_bits: int = 64, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Codes of all rows, and of the queries: those are filtered before they are encoded."""
+    centers = encode.center_matrix(encode.centers_of(data, n_bits, first))
+    return encode.encode(data, centers, W, keep=["vec_id"]), encode.encode(_asked(data), centers, W, keep=["vec_id"])
+
+
 def dot_topk(spark, sf_dir):
     d = _data(spark, sf_dir)
     return knn.k_largest_dot(d, _asked(d), 10).withColumn("dot", F.round("dot", 6))
@@ -109,18 +115,15 @@ def popcount_range(spark, sf_dir):
 
 
 def hamming_topk(spark, sf_dir):
-    c = _codes(_data(spark, sf_dir))
-    return knn.k_smallest_hamming(c, _asked(c), 20)
+    return knn.k_smallest_hamming(*_pair(_data(spark, sf_dir)), 20)
 
 
 def hamming_topk_sql(spark, sf_dir):
-    c = _codes(_data(spark, sf_dir))
-    return knn.k_smallest_hamming(c, _asked(c), 20, method="sql")
+    return knn.k_smallest_hamming(*_pair(_data(spark, sf_dir)), 20, method="sql")
 
 
 def _stages(d):
-    one, two = _codes(d, 32), _codes(d, 64, 32)
-    return [(one, _asked(one)), (two, _asked(two))]
+    return [_pair(d, 32), _pair(d, 64, 32)]
 
 
 def hamming_cascade(spark, sf_dir):
@@ -129,8 +132,7 @@ def hamming_cascade(spark, sf_dir):
 
 def refine_dot(spark, sf_dir):
     d = _data(spark, sf_dir)
-    c = _codes(d)
-    return knn.refine_dot(d, _asked(d), knn.k_smallest_hamming(c, _asked(c), 50), 10).withColumn("dot", F.round("dot", 6))
+    return knn.refine_dot(d, _asked(d), knn.k_smallest_hamming(*_pair(d), 50), 10).withColumn("dot", F.round("dot", 6))
 
 
 def refine_code(spark, sf_dir):
@@ -141,8 +143,8 @@ def refine_code(spark, sf_dir):
 
 def query_single(spark, sf_dir):
     d = _data(spark, sf_dir)
-    c = _codes(d)
-    return knn.query(d, c, _asked(d), _asked(c), 10, 50).withColumn("dot", F.round("dot", 6))
+    c, q = _pair(d)
+    return knn.query(d, c, _asked(d), q, 10, 50).withColumn("dot", F.round("dot", 6))
 
 
 def query_cascade(spark, sf_dir):
@@ -157,26 +159,23 @@ def _rounded(df):
 
 def recall_pairs(spark, sf_dir):
     d = _data(spark, sf_dir)
-    c = _codes(d)
-    return _rounded(recall.recall(knn.k_largest_dot(d, _asked(d), 10), knn.k_smallest_hamming(c, _asked(c), 50)))
+    return _rounded(recall.recall(knn.k_largest_dot(d, _asked(d), 10), knn.k_smallest_hamming(*_pair(d), 50)))
 
 
 def recall_codes(spark, sf_dir):
     d = _data(spark, sf_dir)
-    c = _codes(d)
-    return _rounded(recall.recall_of_codes(c, _asked(c), knn.k_largest_dot(d, _asked(d), 10), 50))
+    return _rounded(recall.recall_of_codes(*_pair(d), knn.k_largest_dot(d, _asked(d), 10), 50))
 
 
 def recall_predictions(spark, sf_dir):
     d = _data(spark, sf_dir)
-    c = _codes(d)
-    return _rounded(recall.recall_of_predictions(d, _asked(d), knn.k_smallest_hamming(c, _asked(c), 50), 10))
+    return _rounded(recall.recall_of_predictions(d, _asked(d), knn.k_smallest_hamming(*_pair(d), 50), 10))
 
 
 def recall_end_to_end(spark, sf_dir):
     d = _data(spark, sf_dir)
-    c = _codes(d)
-    return _rounded(recall.recall_end_to_end(d, c, _asked(d), _asked(c), 10, 50))
+    c, q = _pair(d)
+    return _rounded(recall.recall_end_to_end(d, c, _asked(d), q, 10, 50))
 
 
 def _index(d):
@@ -195,13 +194,12 @@ def index_nodes(spark, sf_dir):
 
 def index_knn(spark, sf_dir):
     d = _data(spark, sf_dir)
-    i = _index(d)
-    return i.knn(_asked(_codes(d)), 20)
+    return _index(d).knn(_pair(d)[1], 20)
 
 
 def index_range(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return _index(d).within(_asked(_codes(d)), 24)
+    return _index(d).within(_pair(d)[1], 24)
 
 
 def overlap_stats(spark, sf_dir):
