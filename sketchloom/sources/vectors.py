@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,27 @@ def get_rows_slice(df: DataFrame, start: int, stop: int, data_id: str = "vec_id"
     return df.where((F.col(data_id) >= start) & (F.col(data_id) < stop))
 
 
+def quantise_half(df: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """Elements rounded to half precision, kept as floats (tables have no half type)."""
+    names = df.columns
+    flat = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    at = f"c{names.index(embedding)}"
+    flat = flat.withColumn(at, F.col(at).cast("array<float>"))
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(at)
+            flat_values = v.flatten()
+            half = pa.array(np.asarray(flat_values, np.float32).astype(np.float16).astype(np.float32), mask=np.asarray(flat_values.is_null()))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(v), 0))
+            off = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(np.asarray(v.is_null()), False))
+            out = pa.ListArray.from_arrays(off, half)
+            yield pa.RecordBatch.from_pydict({c: out if c == at else batch.column(c) for c in batch.schema.names})
+
+    out = flat.mapInArrow(run, flat.schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists", bucket: int | None = None, table: str | None = None, data_id: str = "vec_id") -> None:
     """Parquet; with `bucket` and `table`, a table bucketed by id, so later joins on it need no shuffle."""
     if bucket:

@@ -50,6 +50,13 @@ def test_numpy_round_trip_and_row_access(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(vec_id), GreaterThanOrEqual(vec_id,3), LessThan(vec_id,5)]" in plan
 
 
+def test_half_precision(spark):
+    rows = [(1, [0.1, 1e-9, None]), (2, None), (3, []), (4, [2049.0, 65504.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["embedding"] for r in source.quantise_half(df).collect()}
+    assert got[2] is None and got[3] == [] and got[4] == [2048.0, 65504.0] and got[1] == [float(np.float16(0.1)), 0.0, None]
+
+
 def test_hdf5_reader_with_a_stand_in(spark):
     x = np.random.default_rng(0).standard_normal((25, 4)).astype(np.float32)
     FakeFile.sets["emb"] = x
