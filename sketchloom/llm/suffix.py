@@ -12,9 +12,10 @@ To distribute it, the text is cut by content into overlapping neighbourhoods, so
    strings have equal anchors at equal places, so strings under an anchor hash that occurs once are unique.
 2. For anchor hashes that occur more than once the neighbourhoods are fetched from the texts. Equal neighbourhoods are
    merged and counted; of a neighbourhood that occurs twice, every string is repeated.
-3. Distinct neighbourhoods are dealt out by anchor hash. Each task sorts the suffixes of whole groups, some hundred
-   thousand bytes at a time, and reports the strings that two neighbourhoods share. Neighbourhoods that meet no other
-   of their anchor need no sorting.
+3. Distinct neighbourhoods are dealt out by anchor hash. Each task sorts the suffixes of whole groups, about a million
+   bytes at a time, and reports the strings that two neighbourhoods share. Neighbourhoods that meet no other of their
+   anchor need no sorting. A group of more than `hot_bytes` is cut again by longer anchors inside it (`LEVELS`), the
+   last being the strings themselves, so no group meets in one task.
 4. Repeated strings are carried back to all occurrences and merged to byte runs per distinct text.
 
 Texts are moved twice, compressed, each distinct text once; copies only count. Hashes only bring candidates together,
@@ -40,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import drop_path, text_slices, work_dir
 
 KGRAM = 48
+#: Anchors inside hot groups, as shares of the width.
+LEVELS = (0.6, 1.0)
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 2_000_000
 #: Bytes of neighbourhoods that are sorted at once; a larger group of one anchor is a block of its own.
@@ -306,7 +309,54 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, kgram: int = KGRAM, with_text: bool = False) -> DataFrame:
+def _told(shared: DataFrame, twice: DataFrame) -> DataFrame:
+    """c and the runs of its repeated strings; null runs mean all of them."""
+    w = twice.select(F.col("c").alias("c2"))
+    both = shared.groupBy("c").agg(F.first("runs").alias("runs")).join(w, F.col("c") == F.col("c2"), "full")
+    return both.select(F.coalesce("c", "c2").alias("c"), F.when(F.col("c2").isNull(), F.col("runs")).alias("runs"))
+
+
+def _inner_anchors(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Neighbourhoods of a hot anchor, cut by longer anchors: h, c, at, more, e (digest) and piece of each part."""
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    for batch in batches:
+        for part, raw, off in text_slices(batch, "body", _PIECE):
+            h, text, at, more = anchor_ranges(raw, off, width, k)
+            outer, cs, data = part.column("h").to_pylist(), part.column("c").to_pylist(), raw.tobytes()
+            pieces = [data[off[t] + a : off[t] + a + n + width] for t, a, n in zip(text.tolist(), at.tolist(), more.tolist(), strict=True)]
+            keys = [xxh64_intdigest(x.to_bytes(8, "little", signed=True), outer[t] & (2**64 - 1)) - 2**63 for x, t in zip(h.tolist(), text.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "h": pa.array(keys, pa.int64()), "c": pa.array([cs[t] for t in text.tolist()], pa.binary()), "at": pa.array(at), "more": pa.array(more),
+                "e": pa.array([xxh3_128_digest(outer[t].to_bytes(8, "little", signed=True) + p) for t, p in zip(text.tolist(), pieces, strict=True)], pa.binary()), "piece": pa.array(pieces, pa.binary()),
+            })
+
+
+def _shared_runs(bodies: DataFrame, width: int, hot_bytes: int, keep, level: int = 0) -> DataFrame:
+    """bodies (h, c, body; repeats allowed) -> c and the runs of its strings that another body of its h has."""
+    spark = bodies.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort = lambda df: df.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda b: _shared(b, width), "c binary, runs array<bigint>")
+    if level == len(LEVELS):
+        return sort(bodies)  # groups of equal strings: one body each
+    hot = keep(bodies.groupBy("h").agg(F.sum(F.octet_length("body")).alias("n")).where(F.col("n") > hot_bytes).select("h"))
+    if not hot.count():
+        return sort(bodies)
+    cold = sort(bodies.join(hot, "h", "left_anti"))
+    k = max(1, int(width * LEVELS[level]))
+    texts = bodies.join(hot, "h", "left_semi").dropDuplicates(["c"])
+    cut = keep(texts.mapInArrow(lambda b: _inner_anchors(b, width, k), "h long, c binary, at long, more long, e binary, piece binary"))
+    often = keep(cut.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    cut = cut.join(often, "h")
+    inner = _shared_runs(cut.select("h", F.col("e").alias("c"), F.col("piece").alias("body")).dropDuplicates(["c"]), width, hot_bytes, keep, level + 1)
+    told = keep(_told(inner, cut.groupBy(F.col("e").alias("c")).agg(F.count("*").alias("w")).where("w > 1")))
+    spots = cut.select("c", "e", "at", "more").join(told.select(F.col("c").alias("e"), "runs"), "e")
+    runs = F.when(F.col("runs").isNull(), F.array(F.col("at"), F.col("at") + F.col("more") + 1)).otherwise(F.transform("runs", lambda x: x + F.col("at")))
+    back = spots.select("c", runs.alias("r")).groupBy("c").agg(F.flatten(F.collect_list("r")).alias("runs"))
+    return cold.unionByName(back)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, kgram: int = KGRAM, with_text: bool = False, hot_bytes: int = 500_000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes) of every document."""
     if not 1 <= kgram <= width:
         raise ValueError("kgram must be between 1 and width")
@@ -346,14 +396,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     _release(spark)
 
     # 3. suffix arrays over the distinct neighbourhoods of an anchor
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bodies = found.where("body is not null").select("h", "c", "body").repartition(parts, "h").sortWithinPartitions("h")
-    shared = keep(bodies.mapInArrow(lambda b: _shared(b, width), "c binary, runs array<bigint>"))
+    shared = keep(_shared_runs(found.where("body is not null").select("h", "c", "body"), width, hot_bytes, keep))
     _release(spark)
 
     # 4. back to the occurrences: whole neighbourhoods that occur twice, and the runs of the others
-    twice = found.groupBy("c").agg(F.sum("m").alias("w")).where("w > 1").select(F.col("c").alias("c2"))
-    told = shared.groupBy("c").agg(F.first("runs").alias("runs")).join(twice, F.col("c") == F.col("c2"), "full").select(F.coalesce("c", "c2").alias("c"), F.when(F.col("c2").isNull(), F.col("runs")).alias("runs"))
+    told = _told(shared, found.groupBy("c").agg(F.sum("m").alias("w")).where("w > 1"))
     told = keep(told)
     _release(spark)
     spots = found.select("c", "e", "at", "more").join(told, "c")

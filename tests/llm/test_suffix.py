@@ -50,6 +50,18 @@ def test_matches_brute_force(spark, width, kgram):
     assert [got[i] for i in range(len(texts))] == brute(texts, width)
 
 
+@pytest.mark.parametrize("hot", [0, 900])
+def test_hot_groups_are_cut_again(spark, hot):
+    texts = some_texts(60, seed=3)
+    phrase = "the same phrase is here"
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("xyz") for _ in range(90)) + phrase + "".join(rng.choice("uvw") for _ in range(rng.randint(20, 90))) for _ in range(30)]
+    texts += [t[60:] + "!" for t in texts[-6:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(df, width=60, kgram=12, hot_bytes=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 60)
+
+
 def test_order_of_suffixes():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 4, 5, 7, 50, 400):
