@@ -104,8 +104,10 @@ def write_archive(
     base = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("sha", F.sha1("payload"))
     groups = base.where(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.max("id").alias("origin"), F.count("*").alias("n")).where("n > 1 and origin is not null")
+    # written out: a small table is broadcast, and beside a large one the rows of a common payload can be split
+    groups = materialize(groups.select("sha", "origin"))
     base = base.withColumn("unique", F.monotonically_increasing_id())
-    base = base.join(groups.select("sha", "origin"), "sha", "left")
+    base = base.join(groups, "sha", "left")
     revisit = F.coalesce(F.col("id") < F.col("origin"), F.col("origin").isNotNull() & F.col("id").isNull())
     base = base.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "unique", "url", "payload", "sha", F.when(revisit, F.col("origin").cast("string")).alias("origin"))
 
