@@ -80,9 +80,11 @@ class CodeIndex:
         if layer_bits < 1:
             raise ValueError("layers need at least 1 bit")
         self = cls(codes, total_bits, layer_bits, fanout, word_bits)
+        if fanout**self.height >= 1 << 63:
+            raise ValueError("too many leaves: use wider layers or a smaller fanout")
         base = codes.where(F.col(data_id).isNotNull() & F.col(code).isNotNull()).select(F.col(data_id).alias("vec_id"), F.col(code).alias("code"))
         path = base.withColumn("path", F.transform(self.layer_counts(F.col("code")), self.bucket_of))
-        leaf = F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s * fanout + x)
+        leaf = F.coalesce(F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s * fanout + x), F.lit(0))  # never null, so no filter on it
         self.table = path.withColumn("leaf_id", leaf)
         return self
 
@@ -122,8 +124,10 @@ class CodeIndex:
         return F.aggregate(F.zip_with(counts, path, outside), F.lit(0), lambda s, x: s + x)
 
     def leaves(self) -> DataFrame:
-        """leaf_id, path, n: the occupied leaves."""
-        return self.table.groupBy("leaf_id").agg(F.first("path").alias("path"), F.count("*").alias("n"))
+        """leaf_id, path, n: the occupied leaves. The path is read off the leaf's number."""
+        powers = F.array(*[F.lit(self.fanout**d).cast("long") for d in range(self.height - 1, -1, -1)])
+        path = F.transform(powers, lambda p: (F.call_function("div", F.col("leaf_id"), p) % self.fanout).cast("int"))
+        return self.table.groupBy("leaf_id").agg(F.count("*").alias("n")).select("leaf_id", path.alias("path"), "n")
 
     def node_counts(self) -> DataFrame:
         """depth, prefix, n: rows below each occupied node."""
