@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def work_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="sketchloom-"))
+            own = tempfile.mkdtemp(prefix="sketchloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _own_dir.append(f"file://{own}")
         base = _own_dir[0]
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
