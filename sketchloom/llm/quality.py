@@ -181,15 +181,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str
     share = min(1.0, max_train / max(1, told.where(learn).count()))
     told = told.where(learn & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))))
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    base = base.join(F.broadcast(told), "id").limit(3 * max_train)  # about max_train ids; the limit holds for repeated ids
+    base = base.join(F.broadcast(told), "id")  # about max_train ids
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, off in text_slices(batch, "t"):
+            for part, raw, off in text_slices(batch, "t", 500_000):
                 f = [x.astype(np.int32).tobytes() for x in document_features(raw, off)]
                 yield pa.RecordBatch.from_pydict({"id": part.column("id").cast(pa.string()), "y": part.column("y").cast(pa.int32()), "f": pa.array(f, pa.binary())})
 
-    got = sorted((r["id"], r["y"], bytes(r["f"])) for r in base.mapInArrow(featurise, "id string, y int, f binary").collect())
+    got = sorted((r["id"], r["y"], bytes(r["f"])) for r in base.mapInArrow(featurise, "id string, y int, f binary").limit(3 * max_train).collect())  # bounds repeated ids
     return fit([np.frombuffer(f, np.int32) for _, _, f in got], np.array([y for _, y, _ in got], float), seed=seed)
 
 
@@ -202,7 +202,7 @@ def score_quality(docs: DataFrame, model: NBSVM, text: str = "text", keep: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, off in text_slices(batch, "t"):
+            for part, raw, off in text_slices(batch, "t", 500_000):
                 s = [model.score(f) for f in document_features(raw, off)]
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in part.schema.names if c != "t"} | {"s": pa.array(s, pa.float64())})
 
