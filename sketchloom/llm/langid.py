@@ -159,8 +159,8 @@ def train_language(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text:
     if not total:
         return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), 1.0)
     share = min(1.0, max_train / total)
-    some = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(3 * max_train)
-    rows = sorted((r["y"], bytes(r["f"]), bytes(r["tf"])) for r in some.select("t", "y").mapInArrow(_frequencies, "y string, f binary, tf binary").collect())
+    some = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = sorted((r["y"], bytes(r["f"]), bytes(r["tf"])) for r in some.select("t", "y").mapInArrow(_frequencies, "y string, f binary, tf binary").limit(3 * max_train).collect())  # bounds repeated ids
     if not rows:
         return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), 1.0)
     return fit([(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32).astype(np.float64)) for _, a, b in rows], [y for y, _, _ in rows], idf(df, total), seed=seed)
