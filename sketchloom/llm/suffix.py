@@ -75,14 +75,12 @@ def kgram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive values, by running minima from both ends of blocks of w."""
-    n = len(x)
-    pad = np.full(-(-n // w) * w, np.uint64(2**64 - 1))
-    pad[:n] = x
-    blocks = pad.reshape(-1, w)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - w + 1], left[w - 1 : n])
+    """Minimum of each w consecutive values, from minima of windows that double."""
+    n, s, m = len(x) - w + 1, 1, x
+    while 2 * s <= w:
+        m = np.minimum(m[:-s], m[s:])
+        s *= 2
+    return np.minimum(m[:n], m[w - s : w - s + n])
 
 
 def anchor_ranges(raw: np.ndarray, off: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,18 +94,20 @@ def anchor_ranges(raw: np.ndarray, off: np.ndarray, width: int, k: int) -> tuple
     h = kgram_hashes(raw, k)
     low = np.uint64((1 << 24) - 1)
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), width - k + 1) & low  # ties: the first
-    starts = np.zeros(len(raw), bool)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    room = off[1:][doc] - np.arange(len(raw))
-    starts = np.flatnonzero(room >= width)
+    fits, begins = np.ones(len(raw), bool), np.zeros(len(raw) + 1, bool)
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        fits[max(a, b - width + 1) : b] = False  # strings do not leave their text
+        begins[a] = True
+    starts = np.flatnonzero(fits)
     if not len(starts):
         return none, none, none, none
-    at, text = least[starts].astype(np.int64), doc[starts]
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
+    at = least[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (at[1:] != at[:-1]) | begins[starts[1:]]
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(starts)]]))
-    text = text[first]
-    return h[at[first]].view(np.int64), text, starts[first] - off[text], count - 1
+    text = np.searchsorted(off, starts[first], "right") - 1
+    return h[at[first].astype(np.int64)].view(np.int64), text, starts[first] - off[text], count - 1
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -133,9 +133,8 @@ def ranks(t: np.ndarray, span: int, width: int) -> np.ndarray:
     one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([one, two])
     triple = _pack(pad[sample], pad[sample + 1], pad[sample + 2])
-    names = _first_of_equal(triple)
-    distinct = len(names) == 0 or len(np.unique(names)) == len(names)
-    if distinct or 3 * span >= width:
+    names, distinct = _first_of_equal(triple)
+    if distinct == len(names) or 3 * span >= width:
         below = names
     else:
         # the names of residue 1, then a separator, then those of residue 2
@@ -161,17 +160,17 @@ def _pack(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     """One number for each triple, in the order of the triples."""
     if max((int(a.max()) for a in (x, y, z) if len(a)), default=0) < 1 << 21:
         return x << np.uint64(42) | y << np.uint64(21) | z
-    return _first_of_equal(x << np.uint64(32) | y).astype(np.uint64) << np.uint64(32) | z
+    return _first_of_equal(x << np.uint64(32) | y)[0].astype(np.uint64) << np.uint64(32) | z
 
 
-def _first_of_equal(key: np.ndarray) -> np.ndarray:
-    """For each key the number of smaller ones."""
+def _first_of_equal(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """For each key the number of smaller ones; and how many different keys there are."""
     order = np.argsort(key)
     s = key[order]
     first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
     out = np.empty(len(key), np.int64)
     out[order] = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
-    return out
+    return out, int(first.sum())
 
 
 def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,7 +355,7 @@ def _shared_runs(bodies: DataFrame, width: int, hot_bytes: int, keep, level: int
     return cold.unionByName(back)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, kgram: int = KGRAM, with_text: bool = False, hot_bytes: int = 500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, kgram: int = KGRAM, with_text: bool = False, hot_bytes: int = 1_000_000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes) of every document."""
     if not 1 <= kgram <= width:
         raise ValueError("kgram must be between 1 and width")
