@@ -113,5 +113,17 @@ from d left join o using (uid)
 """
 
 
+OP8 = r"""
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as s from pages),
+g as (select h as body, max(page_id) as top from p group by 1)
+select page_id, octet_length(encode(h))::bigint as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(s, ((i // 4) * 5 + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), '') as payload_digest,
+       case when page_id < top then 'revisit' else 'response' end as record_type,
+       case when page_id < top then top end as refers_to, true as complete
+from p join g on p.h = g.body
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op5_line_dedup": OP5, "op10_chat_format": OP10}
+    return {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op5_line_dedup": OP5, "op8_warc": OP8, "op10_chat_format": OP10}
