@@ -24,9 +24,8 @@ def norm(v: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    """Unit length; null for the zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    """Unit length; null for the zero vector. The norm is bound once, not computed again for each element."""
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))), F.lit(0))
 
 
 def self_prod(v: Column, prod: Product = dot) -> Column:

@@ -39,7 +39,8 @@ def encode_expr(embedding: Column, centers: np.ndarray, word_bits: int = 64) ->
     words = []
     for a in range(0, len(centers), word_bits):
         at = [F.array(*[F.lit(float(x)) for x in c]) for c in centers[a : a + word_bits]]
-        on = lambda c: F.coalesce((vectors.dot(embedding, c) >= 0) & ~F.isnan(vectors.dot(embedding, c)), F.lit(False))
+        # at least 0 and not NaN, which sorts above every number
+        on = lambda c: F.coalesce(vectors.dot(embedding, c).between(0.0, float("inf")), F.lit(False))
         word = F.lit(0).cast("long")
         for i, c in enumerate(at):
             word = word.bitwiseOR(F.when(on(c), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
