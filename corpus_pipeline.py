@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontaminate, jaccard, lines, mixing, quality, simhash
+from sketchloom.llm import decontaminate, jaccard, lines, mixing, quality
 from sketchloom.llm.common import UID, drop_path, held_out, materialize, table, work_dir
 from sketchloom.llm.queries import quality_weight
 
@@ -31,14 +31,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id, or of equal rows any one.
 
-    Shingles of five words, fingerprints of 512 bits. Two texts whose shingle sets have similarity 0.8 agree on 84.8 %
-    of the bits; the radius of 88 bits (17.2 %) lies a standard deviation and a half beyond, and 32 bands of 16 bits
-    give such a pair a shared key in `simhash.band_recall(0.8, 512)` = 91 % of cases, at 0.9 in 99.8 %. What shares a
-    component of fingerprints is only a candidate: groups follow the links whose exact shingle sets reach 0.8.
+    Groups follow all pairs of texts whose sets of five-word shingles have similarity 0.8 or more: candidates share a
+    shingle of their prefixes and lie near by 512-bit fingerprints, and the sets themselves decide; see `jaccard`.
     """
     rows = materialize(docs.withColumn(UID, F.monotonically_increasing_id()))
-    coarse = materialize(simhash.near_duplicates(rows.select(UID, "text"), doc_id=UID, shingle=5, bits=512, radius=88, choose=1))
-    groups = materialize(jaccard.similar_groups(rows, coarse, doc_id=UID))
+    groups = materialize(jaccard.similar_groups(rows, doc_id=UID))
     # the representative of a group: the row with its smallest doc_id
     members = groups.select(F.col("id").alias("u"), "component_id").join(rows.select(F.col(UID).alias("u"), "doc_id"), "u")
     stay = members.groupBy("component_id").agg(F.min_by("u", F.struct(F.col("doc_id").isNull(), "doc_id", "u")).alias("u")).select("u")

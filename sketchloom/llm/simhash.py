@@ -226,6 +226,19 @@ def band_recall(similarity: float, bits: int, choose: int = 1) -> float:
     return float(1 - (1 - same) ** (bits // BLOCK_BITS // choose))
 
 
+def linked_in_buckets(keyed: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
+    """a, b: links of the nodes of one key whose fingerprints lie within the radius. keyed: node, fp, key (binary)."""
+    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile))  # few; its size decides how it is joined
+    n = F.coalesce(F.col("n"), F.lit(0))
+    tiles = F.ceil(n / tile).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1))).cast("int")
+    number = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
+    both = F.transform(F.sequence(F.lit(0), F.greatest(tiles - 1, F.lit(0))), lambda j: F.concat("key", number(F.least(mine, j)), number(F.greatest(mine, j))))
+    pairs = keyed.join(hot, "key", "left").select("node", "fp", F.explode(F.when(n <= tile, F.array("key")).otherwise(both)).alias("key"))
+    pairs = pairs.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    return pairs.mapInArrow(lambda b: _linked(b, radius), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 64, radius: int = 2, choose: int = 2, tile: int = 4096
 ) -> DataFrame:
@@ -237,15 +250,7 @@ def near_duplicates(
     block = lambda i: F.substring("fp", 2 * i + 1, 2)
     keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.concat(*[block(i) for i in s]) for s in sets])).alias("set", "part"))
     keyed = keyed.select("node", "fp", F.concat(F.substring(F.unhex(F.lpad(F.hex("set"), 8, "0")), 3, 2), "part").alias("key"))
-    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile))  # few; its size decides how it is joined
-    n = F.coalesce(F.col("n"), F.lit(0))
-    tiles = F.ceil(n / tile).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1))).cast("int")
-    number = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
-    both = F.transform(F.sequence(F.lit(0), F.greatest(tiles - 1, F.lit(0))), lambda j: F.concat("key", number(F.least(mine, j)), number(F.greatest(mine, j))))
-    pairs = keyed.join(hot, "key", "left").select("node", "fp", F.explode(F.when(n <= tile, F.array("key")).otherwise(both)).alias("key"))
-    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    links = pairs.mapInArrow(lambda b: _linked(b, radius), "a long, b long")
+    links = linked_in_buckets(keyed, radius, tile)
     roots = connected_components(links)
     own = nodes.join(roots, nodes["node"] == roots["a"], "left").select("fp", "least", F.coalesce("b", "node").alias("root"))
     own = materialize(own)

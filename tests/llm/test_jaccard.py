@@ -63,3 +63,52 @@ def test_links_of_sets_match_brute_force():
             if plain[i] and 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j]):
                 want[want == max(want[i], want[j])] = min(want[i], want[j])
     assert (got == want).all() and len(set(want)) < len(sets)
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        w = some(9)
+        texts += [" ".join(w[:8]), " ".join(w)]  # 4 of 5 shingles
+    for n, edits in ((94, 2), (184, 4), (404, 8), (404, 9)):  # 0.8 and a little above or below
+        for _ in range(15):
+            w = some(n)
+            texts += [" ".join(w), " ".join(edited(rng, w, edits))]
+    for _ in range(10):  # as sets nearly equal: one half stands six times in one text
+        a, b = some(120), some(120)
+        texts += [" ".join(a + b), " ".join(a * 6 + b)]
+    w = some(300)
+    for _ in range(30):  # a chain
+        w = edited(rng, w, 5)
+        rng.shuffle(texts)
+        texts.append(" ".join(w))
+    texts += ["", None, " \n", "one", "ONE", "one two", texts[0].upper()]
+    assert stay(spark, texts) == brute_stay(texts)
+
+
+def test_small_tiles_lose_no_link(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(12):
+            texts.append(" ".join(edited(rng, w, rng.randrange(1, 6))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    groups = []
+    for kinds in ({}, {"most": 300, "tile": 3}):
+        by: dict = {}
+        for r in jaccard.similar_groups(df, **kinds).collect():
+            by.setdefault(r["component_id"], set()).add(r["id"])
+        groups.append({min(g) for g in by.values()})
+    assert groups[0] == groups[1] == brute_stay(texts)
+
+
+def test_keys_of_one_node_are_taken_out_across_batches():
+    h = [1, 1, 2, 3, 3, 3, 4, 5, 5, 5, 6, 7, 7]
+    node = [1, 2, 1, 8, 8, 8, 1, 1, 1, 2, 3, 4, 5]
+    for step in (1, 2, 3, 5, 20):
+        batches = [jaccard.pa.RecordBatch.from_pydict({"h": h[i : i + step], "node": node[i : i + step]}) for i in range(0, len(h), step)]
+        got = [(a, b) for x in jaccard._shared(iter(batches)) for a, b in zip(x["h"].to_pylist(), x["node"].to_pylist(), strict=True)]
+        assert got == [(1, 1), (1, 2), (5, 1), (5, 2), (7, 4), (7, 5)]
