@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,10 +22,12 @@ _own_dir: list[str] = []
 def work_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Only where that setting is absent, as in tests on one machine, a local temporary folder is used.
+    Only where that setting is absent and all tasks run in this process, as in tests, a local temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             own = tempfile.mkdtemp(prefix="sketchloom-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -97,3 +100,41 @@ def first_free(columns: list[str], name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_SIGN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values spread over all 64 bits (splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words (runs of anything but ASCII white space) of a run of texts start and end."""
+    full = np.append(~SPACE[raw], False)
+    first = np.zeros(len(raw) + 1, bool)
+    first[off[:-1]] = True  # a word does not go on into the next text
+    before = np.concatenate([[False], full[:-1]])
+    return np.flatnonzero(full & (~before | first)), np.flatnonzero(before & (~full | first))
+
+
+def token_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = 256) -> np.ndarray:
+    """A 64-bit hash of all bytes of each token: by polynomial, or for tokens of more than `long` bytes by XXH64."""
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) + _SIGN)
+    at = np.flatnonzero((size > 0) & (size <= long))
+    k = 0
+    while len(at):
+        h[at] = (h[at] ^ raw[starts[at] + k]) * np.uint64(0x100000001B3)
+        k += 1
+        at = at[size[at] > k]
+    if (size > long).any():
+        from xxhash import xxh64_intdigest
+
+        for i in np.flatnonzero(size > long).tolist():
+            h[i] = xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return mixed(h)

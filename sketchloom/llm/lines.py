@@ -1,153 +1,292 @@
 """Line dedup with a fixed-depth log-template tree.
 
-A line's path in the tree is its token count and its leading tokens; below hang templates, in which variable fields
-are generalised to wildcards:
-
-* the whole line with every token that holds a digit as a wildcard (at least half of the tokens must stay constant;
-  else the line stands as it is), and
-* for lines of `min_split` tokens or more, two templates that keep the leading tokens and one half of the others and
-  leave the other half open, again only if at least half of the line's tokens stay constant.
-
-A template recurs if lines of at least `min_docs` documents follow it; lines under a recurring template are dropped,
-either everywhere or (`keep_first`) everywhere but in the document with the smallest id. Templates are 64-bit hashes,
-each document sends each of its templates once, and counts are summed before the shuffle, so a line that is in every
-document costs one row a task. Recurring templates go to the scan as sorted arrays while they are at most
-`broadcast_rows`; beyond that they are joined by hash.
-
-Defined results: a null text stays null and has no lines; lines are separated by a line feed; lines of fewer than
-`min_tokens` tokens are never dropped; a text of which every line goes becomes empty, and the row stays; repeated
-rows count as documents of their own; null ids come last in the order for `keep_first`; an empty table gives an empty
-result; extra columns are kept.
+A line's path in the tree is its token count and its first `depth` tokens. In the leaf that the path leads to, lines
+differ at some positions and agree at others: a token is constant there if at least `min_docs` documents of the leaf
+have it at its position. A line's template keeps the constant tokens and generalises the others, and all tokens that
+hold a digit, to fields. A template with word fields stands only if
+
+* the line has `min_tokens` tokens or more, and three fifths of them are constant, and
+* no two word fields stand side by side: a field is a name or a value, not a clause of prose.
+
+Otherwise the line's template is the line itself, with tokens that hold a digit as fields if half of its tokens hold
+none. A template recurs if lines of at least `min_docs` documents follow it, or `long_docs` documents if it has no field
+and `long_tokens` tokens or more. Lines of recurring templates are dropped, either everywhere or (`keep_first`)
+everywhere but in the document with the smallest id.
+
+Counts decide, not the order in which lines come, so the result does not depend on how the rows are dealt out, and no
+task needs to see a whole leaf. Tokens of a leaf and templates are 64-bit hashes; each document sends each once, and
+counts are summed in the task before the shuffle, so a line or a leaf that is in every document costs one row a task.
+Constant tokens and recurring templates go to the scan as sorted arrays while they are at most `broadcast_rows`; beyond
+that each document is joined to its own. Texts are parsed in pieces of whole lines.
+
+Defined results: a null text stays null and has no lines; lines are separated by a line feed, tokens by ASCII white
+space; a line without tokens is never dropped; a text of which every line goes becomes empty, and the row stays;
+repeated rows count as documents of their own; ids may have any type that Spark orders; null ids come last in the
+order for `keep_first`; an empty table gives an empty result; a very long text or line is read whole; extra columns are
+kept, and the two added ones get an underscore if a column has the name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UID, first_free, materialize
+from .common import UID, first_free, materialize, mixed, text_slices, token_hashes, words_of
 
-_DIGIT = re.compile(rb"[0-9]")
-_NO_ID = np.iinfo(np.int64).max
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_FIELD, _LEAF, _PLACE = np.uint64(0x51ED270B7C5A1D3F), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are parsed at once.
+_PIECE = 2_000_000
 
 
 @dataclass(frozen=True)
 class TemplateTree:
     depth: int = 2
-    min_tokens: int = 3
-    min_split: int = 8
-
-    def templates(self, line: bytes) -> list[bytes]:
-        """The templates that a line follows, as byte strings; none for short lines."""
-        tokens = line.split()
-        n = len(tokens)
-        if n < self.min_tokens:
-            return []
-        masked = [b"\x00" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
-        count = b"%d\x01" % n
-        constant = lambda ts: 2 * sum(t != b"\x00" for t in ts) >= n
-        out = [count + b" ".join(masked if constant(masked) else tokens)]
-        if n >= self.min_split:
-            d = self.depth
-            half = d + (n - d) // 2
-            for mark, kept in ((b"<", masked[:half]), (b">", masked[:d] + masked[half:])):
-                if constant(kept):
-                    out.append(count + mark + b" ".join(kept))
-        return out
-
-    def hashes(self, text: bytes) -> list[list[int]]:
-        """Template hashes of each line of a text."""
-        from xxhash import xxh64_intdigest
-
-        return [[xxh64_intdigest(t) - (1 << 63) for t in self.templates(line)] for line in text.split(b"\n")]
-
-
-def _templates(batches: Iterator[pa.RecordBatch], tree: TemplateTree) -> Iterator[pa.RecordBatch]:
-    """Each document's templates once, with the document's id."""
+    min_tokens: int = 4
+    min_docs: int = 5
+    long_tokens: int = 50
+    long_docs: int = 2
+
+
+class Lines:
+    """The lines and tokens of a run of texts. off: offsets of the texts in `raw`."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray):
+        feeds = np.flatnonzero(raw == 10)
+        doc = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, feeds, "right") - 1])
+        start = np.concatenate([off[:-1], feeds + 1])
+        order = np.lexsort((start, doc))
+        self.start, self.doc = start[order], doc[order]
+        stop = off[self.doc + 1]
+        stop[:-1] = np.where(self.doc[1:] == self.doc[:-1], self.start[1:] - 1, stop[:-1])
+        self.stop = stop
+        at, end = words_of(raw, off)
+        self.hash = token_hashes(raw, at, end)
+        self.digit = np.add.reduceat(np.append(_DIGIT[raw], False), np.stack([at, end], 1).ravel(), dtype=np.int32)[::2] > 0 if len(at) else np.zeros(0, bool)
+        self.line = np.searchsorted(self.start, at, "right") - 1  # the last line that starts there: those before are empty
+        self.n = np.bincount(self.line, minlength=len(self.start))
+        self.first = np.cumsum(self.n) - self.n
+        self.place = np.arange(len(at)) - self.first[self.line]
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """Sums over the tokens of each line."""
+        total = np.concatenate([np.zeros(1, value.dtype), np.cumsum(value)])
+        return total[self.first + self.n] - total[self.first]
+
+    def leaf_tokens(self, tree: TemplateTree) -> tuple[np.ndarray, np.ndarray]:
+        """For each token: its key in the leaf of its line, and whether it counts (it may become a word field)."""
+        spot = mixed(self.place.astype(np.uint64) * _PLACE)
+        self.own = mixed(self.hash ^ spot)
+        self.field = mixed(_FIELD ^ spot)
+        self.masked = np.where(self.digit, self.field, self.own)
+        leaf = mixed(self.sums(np.where(self.place < tree.depth, self.masked, np.uint64(0))) + self.n.astype(np.uint64) * _LEAF)
+        return mixed(leaf[self.line] + self.own), (self.place >= tree.depth) & ~self.digit & (self.n[self.line] >= tree.min_tokens)
+
+    def templates(self, tree: TemplateTree, constant: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each line: its plain template, its template with word fields, whether it has one; whether it is long and fixed.
+
+        constant: for each token whether it is constant in its leaf; counts: whether it may be a field.
+        """
+        size = self.n.astype(np.uint64) * _LEAF
+        digits = self.sums(self.digit.astype(np.int64))
+        fixed = 2 * (self.n - digits) < self.n  # too many digits to tell anything
+        plain = mixed(np.where(fixed, self.sums(self.own), self.sums(self.masked)) + size + np.uint64(1))
+        word = counts & ~constant
+        fields = self.sums(word.astype(np.int64))
+        side = np.zeros(len(word), bool)
+        side[1:] = word[1:] & word[:-1] & (self.line[1:] == self.line[:-1])
+        stands = (fields > 0) & (5 * (self.n - digits - fields) >= 3 * self.n) & (self.sums(side.astype(np.int64)) == 0)
+        general = mixed(self.sums(np.where(word, self.field, self.masked)) + size + np.uint64(1))
+        return plain, general, stands, (self.n >= tree.long_tokens) & (fixed | (digits == 0))
+
+
+def _pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[Lines, int]]:
+    """The lines of a run of texts, and their byte offset in it; one very long text comes in pieces of whole lines."""
+    if len(off) != 2 or len(raw) <= 2 * _PIECE:
+        yield Lines(raw, off), 0
+        return
+    a = 0
+    while a <= len(raw):
+        ahead = np.flatnonzero(raw[a + _PIECE :] == 10)[:1] if a + _PIECE < len(raw) else []
+        b = a + _PIECE + int(ahead[0]) if len(ahead) else len(raw)
+        yield Lines(raw[a:b], np.array([0, b - a])), a
+        a = b + 1  # the feed between pieces belongs to neither
+
+
+def _once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where each different (doc, key) is first."""
+    order = np.lexsort((key, doc))
+    d, k = doc[order], key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    return order[new]
+
+
+def _leaf_counts(batches: Iterator[pa.RecordBatch], tree: TemplateTree, hold: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """p, n: keys of tokens in leaves, and in how many documents."""
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        p, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        return pa.RecordBatch.from_pydict({"p": pa.array(p.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    for batch in batches:
+        for _, raw, off in text_slices(batch, "t", _PIECE):
+            keys, docs = [], []
+            for piece, _ in _pieces(raw, off):
+                key, counts = piece.leaf_tokens(tree)
+                keys.append(key[counts])
+                docs.append(piece.doc[piece.line[counts]])
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            held.append(key[_once(doc, key)])
+            if sum(map(len, held)) >= hold:
+                yield out()
+                held = []
+    yield out()
+
+
+def _exploded_leaves(batches: Iterator[pa.RecordBatch], tree: TemplateTree) -> Iterator[pa.RecordBatch]:
+    """p, u: each document's keys of tokens in leaves."""
     for batch in batches:
-        ids, keys, n = [], [], 0
-        for i, t in zip(batch.column("id").to_pylist(), batch.column("t"), strict=True):
-            mine = {h for line in tree.hashes(t.as_py().encode()) for h in line}
-            ids.append((i, len(mine)))
-            keys += mine
-        who = np.repeat(np.array([_NO_ID if i is None else i for i, _ in ids], np.int64), [n for _, n in ids])
-        yield pa.RecordBatch.from_pydict({"h": pa.array(np.array(keys, np.int64)), "id": pa.array(who)})
+        for part, raw, off in text_slices(batch, "t", _PIECE):
+            u = np.asarray(part.column(UID))
+            for piece, _ in _pieces(raw, off):
+                key, counts = piece.leaf_tokens(tree)
+                yield pa.RecordBatch.from_pydict({"p": pa.array(key[counts].view(np.int64)), "u": pa.array(u[piece.doc[piece.line[counts]]])})
 
 
-def _dropped(hashes: list[list[int]], me: int, known: dict[int, int], keep_first: bool) -> list[bool]:
-    return [any(h in known and not (keep_first and known[h] == me) for h in line) for line in hashes]
+def _in(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the keys in a sorted array, -1 where they are not in it."""
+    if not len(sorted_keys):
+        return np.full(len(key), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == key, at, -1)
 
 
-def drop_recurring_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 5, keep_first: bool = False, tree: TemplateTree = TemplateTree(), broadcast_rows: int = 2_000_000
-) -> DataFrame:
-    """The columns of `docs` with lines of recurring templates taken out of the text, plus n_lines and n_dropped.
+def _line_templates(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, tree: TemplateTree, constant: np.ndarray | None):
+    """For each piece of a run: its lines, its offset and what `Lines.templates` gives. constant: sorted keys, or None if the rows bring theirs."""
+    if constant is None:
+        constant = np.unique(np.asarray(part.column("constant").flatten(), dtype=np.int64).view(np.uint64))
+    for piece, at in _pieces(raw, off):
+        key, counts = piece.leaf_tokens(tree)
+        yield piece, at, piece.templates(tree, _in(constant, key) >= 0, counts)
 
-    The id must be an integer. n_lines and n_dropped get an underscore if a column has the name.
-    """
+
+def _templates(batches: Iterator[pa.RecordBatch], tree: TemplateTree, constant, with_uid: bool) -> Iterator[pa.RecordBatch]:
+    """h, id, long: each document's templates once (with_uid: the row's number in place of the id)."""
+    for batch in batches:
+        for part, raw, off in text_slices(batch, "t", _PIECE):
+            keys, docs, longs = [], [], []
+            for piece, _, (plain, general, stands, long) in _line_templates(part, raw, off, tree, constant.value if constant else None):
+                some = piece.n > 0
+                keys += [plain[some], general[stands]]
+                docs += [piece.doc[some], piece.doc[stands]]
+                longs += [long[some], np.zeros(stands.sum(), bool)]
+            key, doc, long = np.concatenate(keys), np.concatenate(docs), np.concatenate(longs)
+            first = _once(doc, key)
+            who = part.column(UID if with_uid else "id").take(pa.array(doc[first]))
+            yield pa.RecordBatch.from_pydict({"h": pa.array(key[first].view(np.int64)), "id": who, "long": pa.array(long[first])})
+
+
+def _edited(raw: bytes, lines: list[tuple[int, int, bool]]) -> str:
+    return b"\n".join(raw[a:b] for a, b, gone in lines if not gone).decode()
+
+
+def _dropped(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, tree: TemplateTree, constant: np.ndarray | None, keys: np.ndarray, firsts: pa.Array, keep_first: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The edited texts, and each document's number of lines and of dropped lines."""
+    ids, n_docs = part.column("id"), len(off) - 1
+    lines, gone, many = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64), len(off) == 2 and len(raw) > 2 * _PIECE
+    spans: dict[int, list[tuple[int, int, bool]]] = {}
+    for piece, shift, (plain, general, stands, _) in _line_templates(part, raw, off, tree, constant):
+        drop = np.zeros(len(piece.n), bool)
+        for key, may in ((plain, piece.n > 0), (general, stands)):
+            at = _in(keys, key)
+            hit = np.flatnonzero((at >= 0) & may)
+            if keep_first and len(hit):
+                first, mine = firsts.take(pa.array(at[hit])), ids.take(pa.array(piece.doc[hit]))
+                same = np.asarray(pc.fill_null(pc.equal(first, mine), False)) | (np.asarray(first.is_null()) & np.asarray(mine.is_null()))
+                hit = hit[~same]
+            drop[hit] = True
+        lines += np.bincount(piece.doc, minlength=n_docs)
+        gone += np.bincount(piece.doc[drop], minlength=n_docs)
+        touched = np.zeros(n_docs, bool)
+        touched[piece.doc[drop]] = True
+        for i in np.flatnonzero(touched[piece.doc] | many).tolist():
+            spans.setdefault(int(piece.doc[i]), []).append((shift + int(piece.start[i]), shift + int(piece.stop[i]), bool(drop[i])))
+    data = raw.tobytes() if gone.any() else b""
+    texts = part.column("t").to_pylist() if gone.any() else part.column("t")
+    for d in np.flatnonzero(gone).tolist():
+        texts[d] = _edited(data, spans[d])
+    known = np.asarray(part.column("t").is_valid())
+    return pa.array(texts, pa.string()) if gone.any() else texts, np.where(known, lines, 0), gone
+
+
+def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_first: bool = False, tree: TemplateTree = TemplateTree(), broadcast_rows: int = 4_000_000) -> DataFrame:
+    """The columns of `docs` with lines of recurring templates taken out of the text, plus n_lines and n_dropped."""
     spark = docs.sparkSession
     lines_name, dropped_name = first_free(docs.columns, "n_lines"), first_free(docs.columns, "n_dropped")
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("t is not null")
-    counted = base.mapInArrow(lambda b: _templates(b, tree), "h long, id long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    recurring = materialize(counted.where(F.col("n") >= min_docs).select("h", "first"))
-    rows = recurring.count()
-
     names = [f"c{i}" for i in range(len(docs.columns))]
-    body = names[docs.columns.index(text)]
-    me = names[docs.columns.index(doc_id)]
-    flat = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == body else f.dataType, True) for f in flat.schema.fields] + [T.StructField("nl", T.LongType()), T.StructField("nd", T.LongType())])
-
-    def edit(batch: pa.RecordBatch, marks: list[list[bool] | None]) -> pa.RecordBatch:
-        texts = batch.column(body).to_pylist()
-        out = []
-        for t, drop in zip(texts, marks, strict=True):
-            out.append(t if t is None or not any(drop) else "\n".join(x for x, d in zip(t.split("\n"), drop, strict=True) if not d))
-        columns = {n: pa.array(out, pa.string()) if n == body else batch.column(n) for n in names}
-        return pa.RecordBatch.from_pydict(columns | {"nl": pa.array([0 if d is None else len(d) for d in marks], pa.int64()), "nd": pa.array([0 if d is None else sum(d) for d in marks], pa.int64())})
-
-    if rows <= broadcast_rows:
-        got = recurring.toPandas()  # at most broadcast_rows pairs of 64-bit numbers
-        shared = spark.sparkContext.broadcast((got["h"].to_numpy(np.int64), got["first"].to_numpy(np.int64)))
-        cache: dict[int, dict[int, int]] = {}
+    rest = {n: c for n, c in zip(names, docs.columns, strict=True) if c != text}
+    flat = docs.select(*[F.col(c).alias(n) for n, c in rest.items()], F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"))
+    kind = flat.schema["id"].dataType.simpleString()
+
+    counts = flat.select("t").mapInArrow(lambda b: _leaf_counts(b, tree), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    constant = materialize(counts.where(F.col("n") >= tree.min_docs).select("p"))
+    by_join = constant.count() > broadcast_rows
+    if by_join:
+        flat = materialize(flat.withColumn(UID, F.monotonically_increasing_id()))
+        own = flat.select(UID, "t").mapInArrow(lambda b: _exploded_leaves(b, tree), "p long, u long").join(constant, "p").groupBy("u").agg(F.collect_set("p").alias("constant"))
+        flat = materialize(flat.join(own, flat[UID] == own["u"], "left").drop("u"))
+        known = None
+    else:
+        keys = np.asarray(constant.toArrow()["p"], dtype=np.int64).view(np.uint64)  # at most broadcast_rows
+        known = spark.sparkContext.broadcast(np.sort(keys))
+
+    told = flat.mapInArrow(lambda b: _templates(b, tree, known, False), f"h long, id {kind}, long boolean")
+    told = told.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("long").alias("long"))
+    recurring = materialize(told.where((F.col("n") >= tree.min_docs) | (F.col("long") & (F.col("n") >= tree.long_docs))).select("h", "first"))
+
+    kept = [f for f in flat.schema.fields if f.name in rest]
+    schema = T.StructType([*kept, T.StructField("t", T.StringType()), T.StructField("nl", T.LongType()), T.StructField("nd", T.LongType())])
+
+    def edit(part: pa.RecordBatch, raw, off, keys: np.ndarray, firsts: pa.Array) -> pa.RecordBatch:
+        texts, lines, gone = _dropped(part, raw, off, tree, known.value if known else None, keys, firsts, keep_first)
+        return pa.RecordBatch.from_pydict({f.name: part.column(f.name) for f in kept} | {"t": texts, "nl": pa.array(lines), "nd": pa.array(gone)})
+
+    if recurring.count() <= broadcast_rows:
+        got = recurring.toArrow()  # at most broadcast_rows
+        keys = np.asarray(got["h"], dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        found = spark.sparkContext.broadcast((keys[order], got["first"].combine_chunks().take(pa.array(order))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if 0 not in cache:
-                cache[0] = dict(zip(*(a.tolist() for a in shared.value), strict=True))
             for batch in batches:
-                ids = batch.column(me).cast(pa.int64()).to_pylist()
-                yield edit(batch, [None if t is None else _dropped(tree.hashes(t.encode()), _NO_ID if i is None else i, cache[0], keep_first) for i, t in zip(ids, batch.column(body).to_pylist(), strict=True)])
+                for part, raw, off in text_slices(batch, "t", _PIECE):
+                    yield edit(part, raw, off, *found.value)
 
         out = flat.mapInArrow(run, schema)
     else:
-        flat = materialize(flat.withColumn(UID, F.monotonically_increasing_id()))
-
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for u, i, t in zip(batch.column(UID).to_pylist(), batch.column(me).cast(pa.int64()).to_pylist(), batch.column(body).to_pylist(), strict=True):
-                    r = [(h, k) for k, line in enumerate(tree.hashes(t.encode()) if t is not None else []) for h in line]
-                    yield pa.RecordBatch.from_pydict({"h": pa.array([h for h, _ in r], pa.int64()), "u": pa.array([u] * len(r), pa.int64()), "i": pa.array([_NO_ID if i is None else i] * len(r), pa.int64()), "k": pa.array([k for _, k in r], pa.int64())})
-
-        at = flat.select(UID, me, body).mapInArrow(explode, "h long, u long, i long, k long").join(recurring, "h")
-        if keep_first:
-            at = at.where("i <> first")
-        gone = at.groupBy("u").agg(F.collect_set("k").alias("gone"))
-        joined = flat.join(gone, flat[UID] == gone["u"], "left").drop(UID, "u")
+        if UID not in flat.columns:
+            flat = materialize(flat.withColumn(UID, F.monotonically_increasing_id()))
+        at = flat.mapInArrow(lambda b: _templates(b, tree, known, True), "h long, id long, long boolean").join(recurring, "h")
+        mine = at.groupBy(F.col("id").alias("u")).agg(F.collect_list(F.struct("h", "first")).alias("recurring"))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                marks = []
-                for t, g in zip(batch.column(body).to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                    some = set(g or ())
-                    marks.append(None if t is None else [k in some for k in range(t.count("\n") + 1)])
-                yield edit(batch, marks)
-
-        out = joined.mapInArrow(apply, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], F.col("nl").alias(lines_name), F.col("nd").alias(dropped_name))
+                for part, raw, off in text_slices(batch, "t", _PIECE):
+                    pairs = part.column("recurring").flatten()
+                    keys = np.asarray(pairs.field("h"), dtype=np.int64).view(np.uint64)
+                    keys, one = np.unique(keys, return_index=True)
+                    yield edit(part, raw, off, keys, pairs.field("first").take(pa.array(one)))
+
+        out = flat.join(mine, flat[UID] == mine["u"], "left").mapInArrow(apply, schema)
+    back = {c: n for n, c in rest.items()}
+    return out.select(*[(F.col("t") if c == text else F.col(back[c])).alias(c) for c in docs.columns], F.col("nl").alias(lines_name), F.col("nd").alias(dropped_name))

@@ -86,22 +86,27 @@ from d left join h using (uid) left join it using (uid)
 """
 
 
-#: Templates as strings where the operator has hashes of them.
+#: Leaves and templates as strings where the operator has hashes of them.
 OP5 = r"""
 with d as (select row_number() over () as uid, doc_id, text from documents),
 l as (
   select uid, k, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as tok
   from (select uid, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from d where text is not null)
 ), m as (
-  select uid, k, len(tok) as n, tok, list_transform(tok, lambda t: case when regexp_matches(t, '[0-9]') then chr(0) else t end) as mask from l where len(tok) >= 3
-), s as (
-  select uid, k, n::varchar || '=' || array_to_string(case when 2 * len(list_filter(mask, lambda t: t <> chr(0))) >= n then mask else tok end, ' ') as sig from m
-  union all
-  select uid, k, n::varchar || '<' || array_to_string(c, ' ') from (select uid, k, n, mask[1:2 + (n - 2) // 2] as c from m where n >= 8) where 2 * len(list_filter(c, lambda t: t <> chr(0))) >= n
+  select uid, k, len(tok) as n, tok, list_transform(tok, lambda t: case when regexp_matches(t, '[0-9]') then chr(0) else t end) as mask from l where len(tok) > 0
+), w as (
+  select uid, k, n, i, tok[i] as t, n::varchar || ' ' || array_to_string(mask[1:2], ' ') as leaf from (select *, unnest(range(3, n + 1)) as i from m where n >= 4) where mask[i] <> chr(0)
+), c as (select leaf, i, t from w group by all having count(distinct uid) >= 5),
+f as (select w.uid, w.k, list(w.i) as fields from w left join c on w.leaf = c.leaf and w.i = c.i and w.t = c.t where c.t is null group by all),
+s as (
+  select uid, k, n, case when 2 * len(list_filter(mask, lambda t: t <> chr(0))) >= n then mask else tok end as sig from m
   union all
-  select uid, k, n::varchar || '>' || array_to_string(c, ' ') from (select uid, k, n, list_concat(mask[1:2], mask[3 + (n - 2) // 2:]) as c from m where n >= 8) where 2 * len(list_filter(c, lambda t: t <> chr(0))) >= n
-), r as (select sig from s group by sig having count(distinct uid) >= 5),
-g as (select distinct uid, k from s join r using (sig)),
+  select m.uid, m.k, n, list_transform(mask, lambda t, i: case when list_contains(fields, i) then chr(0) else t end) as sig
+  from m join f on m.uid = f.uid and m.k = f.k
+  where len(list_filter(fields, lambda i: list_contains(fields, i + 1))) = 0 and 5 * (len(list_filter(mask, lambda t: t <> chr(0))) - len(fields)) >= 3 * n
+), r as (
+  select n, sig from s group by all having count(distinct uid) >= 5 or (n >= 50 and not list_contains(sig, chr(0)) and count(distinct uid) >= 2)
+), g as (select distinct uid, k from s join r on s.n = r.n and s.sig = r.sig),
 o as (
   select l.uid, count(*) as n_lines, count(g.uid) as n_dropped,
          coalesce(string_agg(case when g.uid is null then line end, chr(10) order by l.k), '') as kept
