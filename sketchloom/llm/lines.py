@@ -16,8 +16,9 @@ everywhere but in the document with the smallest id.
 Counts decide, not the order in which lines come, so the result does not depend on how the rows are dealt out, and no
 task needs to see a whole leaf. Tokens of a leaf and templates are 64-bit hashes; each document sends each once, and
 counts are summed in the task before the shuffle, so a line or a leaf that is in every document costs one row a task.
-Constant tokens and recurring templates go to the scan as sorted arrays while they are at most `broadcast_rows`; beyond
-that each document is joined to its own. Texts are parsed in pieces of whole lines.
+Leaves are counted first: only tokens of leaves that `min_docs` documents have can be constant. Leaves, constant tokens
+and recurring templates go to the scans as sorted arrays while they are at most `broadcast_rows`; beyond that each
+document is joined to its own. Texts are parsed in pieces of whole lines.
 
 Defined results: a null text stays null and has no lines; lines are separated by a line feed, tokens by ASCII white
 space; a line without tokens is never dropped; a text of which every line goes becomes empty, and the row stays;
@@ -68,44 +69,60 @@ class Lines:
         stop = off[self.doc + 1]
         stop[:-1] = np.where(self.doc[1:] == self.doc[:-1], self.start[1:] - 1, stop[:-1])
         self.stop = stop
-        at, end = words_of(raw, off)
-        self.hash = token_hashes(raw, at, end)
-        self.digit = np.add.reduceat(np.append(_DIGIT[raw], False), np.stack([at, end], 1).ravel(), dtype=np.int32)[::2] > 0 if len(at) else np.zeros(0, bool)
-        self.line = np.searchsorted(self.start, at, "right") - 1  # the last line that starts there: those before are empty
+        self.raw, (self.at, self.end) = raw, words_of(raw, off)
+        self.line = np.searchsorted(self.start, self.at, "right") - 1  # the last line that starts there: those before are empty
         self.n = np.bincount(self.line, minlength=len(self.start))
         self.first = np.cumsum(self.n) - self.n
-        self.place = np.arange(len(at)) - self.first[self.line]
+        self.place = np.arange(len(self.at)) - self.first[self.line]
+
+    def tokens(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For some tokens: their hash at their place, that of a field there, and whether they hold a digit."""
+        at, end = self.at[which], self.end[which]
+        spot = mixed(self.place[which].astype(np.uint64) * _PLACE)
+        digit = np.add.reduceat(np.append(_DIGIT[self.raw], False), np.stack([at, end], 1).ravel(), dtype=np.int32)[::2] > 0 if len(at) else np.zeros(0, bool)
+        return mixed(token_hashes(self.raw, at, end) ^ spot), mixed(_FIELD ^ spot), digit
 
     def sums(self, value: np.ndarray) -> np.ndarray:
         """Sums over the tokens of each line."""
         total = np.concatenate([np.zeros(1, value.dtype), np.cumsum(value)])
         return total[self.first + self.n] - total[self.first]
 
-    def leaf_tokens(self, tree: TemplateTree) -> tuple[np.ndarray, np.ndarray]:
-        """For each token: its key in the leaf of its line, and whether it counts (it may become a word field)."""
-        spot = mixed(self.place.astype(np.uint64) * _PLACE)
-        self.own = mixed(self.hash ^ spot)
-        self.field = mixed(_FIELD ^ spot)
-        self.masked = np.where(self.digit, self.field, self.own)
-        leaf = mixed(self.sums(np.where(self.place < tree.depth, self.masked, np.uint64(0))) + self.n.astype(np.uint64) * _LEAF)
-        return mixed(leaf[self.line] + self.own), (self.place >= tree.depth) & ~self.digit & (self.n[self.line] >= tree.min_tokens)
-
-    def templates(self, tree: TemplateTree, constant: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each line: its plain template, its template with word fields, whether it has one; whether it is long and fixed.
-
-        constant: for each token whether it is constant in its leaf; counts: whether it may be a field.
+    def leaves(self, tree: TemplateTree) -> np.ndarray:
+        """The leaf of each line."""
+        leaf = self.n.astype(np.uint64) * _LEAF
+        for k in range(tree.depth):
+            has = np.flatnonzero(self.n > k)
+            own, field, digit = self.tokens(self.first[has] + k)
+            leaf[has] += np.where(digit, field, own)
+        return mixed(leaf)
+
+    def leaf_tokens(self, tree: TemplateTree, busy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that may become word fields, and their keys in their leaves. busy: sorted leaves that enough documents have."""
+        leaf = self.leaves(tree)
+        open_ = (self.n >= tree.min_tokens) & (_in(busy, leaf) >= 0)
+        which = np.flatnonzero(open_[self.line] & (self.place >= tree.depth))
+        own, _, digit = self.tokens(which)
+        which, own = which[~digit], own[~digit]
+        return which, mixed(leaf[self.line[which]] + own)
+
+    def templates(self, tree: TemplateTree, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each line: its plain template, its template with word fields, whether that stands; whether it is long and fixed.
+
+        fields: the tokens that are word fields.
         """
-        size = self.n.astype(np.uint64) * _LEAF
-        digits = self.sums(self.digit.astype(np.int64))
+        own, field, digit = self.tokens(np.arange(len(self.at)))
+        masked = np.where(digit, field, own)
+        size = self.n.astype(np.uint64) * _LEAF + np.uint64(1)
+        digits = self.sums(digit.astype(np.int64))
         fixed = 2 * (self.n - digits) < self.n  # too many digits to tell anything
-        plain = mixed(np.where(fixed, self.sums(self.own), self.sums(self.masked)) + size + np.uint64(1))
-        word = counts & ~constant
-        fields = self.sums(word.astype(np.int64))
-        side = np.zeros(len(word), bool)
-        side[1:] = word[1:] & word[:-1] & (self.line[1:] == self.line[:-1])
-        stands = (fields > 0) & (5 * (self.n - digits - fields) >= 3 * self.n) & (self.sums(side.astype(np.int64)) == 0)
-        general = mixed(self.sums(np.where(word, self.field, self.masked)) + size + np.uint64(1))
-        return plain, general, stands, (self.n >= tree.long_tokens) & (fixed | (digits == 0))
+        shown = self.sums(masked)
+        plain = mixed(np.where(fixed, self.sums(own), shown) + size)
+        words = np.bincount(self.line[fields], minlength=len(self.n))
+        side = np.zeros(len(self.n), bool)
+        beside = np.flatnonzero(np.diff(fields) == 1)
+        side[self.line[fields[beside]][self.line[fields[beside]] == self.line[fields[beside + 1]]]] = True
+        np.add.at(shown, self.line[fields], field[fields] - own[fields])
+        return plain, mixed(shown + size), (words > 0) & ~side & (5 * (self.n - digits - words) >= 3 * self.n), (self.n >= tree.long_tokens) & (fixed | (digits == 0))
 
 
 def _pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[Lines, int]]:
@@ -130,8 +147,8 @@ def _once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _leaf_counts(batches: Iterator[pa.RecordBatch], tree: TemplateTree, hold: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """p, n: keys of tokens in leaves, and in how many documents."""
+def _documents(batches: Iterator[pa.RecordBatch], keys_of, hold: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """p, n: keys that `keys_of` gives for tokens or lines, and in how many documents they are."""
     held: list[np.ndarray] = []
 
     def out() -> pa.RecordBatch:
@@ -139,13 +156,9 @@ def _leaf_counts(batches: Iterator[pa.RecordBatch], tree: TemplateTree, hold: in
         return pa.RecordBatch.from_pydict({"p": pa.array(p.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     for batch in batches:
-        for _, raw, off in text_slices(batch, "t", _PIECE):
-            keys, docs = [], []
-            for piece, _ in _pieces(raw, off):
-                key, counts = piece.leaf_tokens(tree)
-                keys.append(key[counts])
-                docs.append(piece.doc[piece.line[counts]])
-            key, doc = np.concatenate(keys), np.concatenate(docs)
+        for part, raw, off in text_slices(batch, "t", _PIECE):
+            got = [keys_of(piece, part) for piece, _ in _pieces(raw, off)]
+            key, doc = np.concatenate([k for k, _ in got]), np.concatenate([d for _, d in got])
             held.append(key[_once(doc, key)])
             if sum(map(len, held)) >= hold:
                 yield out()
@@ -153,14 +166,14 @@ def _leaf_counts(batches: Iterator[pa.RecordBatch], tree: TemplateTree, hold: in
     yield out()
 
 
-def _exploded_leaves(batches: Iterator[pa.RecordBatch], tree: TemplateTree) -> Iterator[pa.RecordBatch]:
-    """p, u: each document's keys of tokens in leaves."""
+def _exploded(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
+    """p, u: each document's keys."""
     for batch in batches:
         for part, raw, off in text_slices(batch, "t", _PIECE):
             u = np.asarray(part.column(UID))
             for piece, _ in _pieces(raw, off):
-                key, counts = piece.leaf_tokens(tree)
-                yield pa.RecordBatch.from_pydict({"p": pa.array(key[counts].view(np.int64)), "u": pa.array(u[piece.doc[piece.line[counts]]])})
+                key, doc = keys_of(piece, part)
+                yield pa.RecordBatch.from_pydict({"p": pa.array(key.view(np.int64)), "u": pa.array(u[doc])})
 
 
 def _in(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -171,41 +184,49 @@ def _in(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == key, at, -1)
 
 
-def _line_templates(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, tree: TemplateTree, constant: np.ndarray | None):
-    """For each piece of a run: its lines, its offset and what `Lines.templates` gives. constant: sorted keys, or None if the rows bring theirs."""
-    if constant is None:
-        constant = np.unique(np.asarray(part.column("constant").flatten(), dtype=np.int64).view(np.uint64))
+class Keys:
+    """A set of keys as a sorted array: one for all rows, sent to the workers, or for each row in a column of its own."""
+
+    def __init__(self, name: str, sent=None):
+        self.name, self.sent = name, sent
+
+    def of(self, part: pa.RecordBatch) -> np.ndarray:
+        return self.sent.value if self.sent is not None else np.unique(np.asarray(part.column(self.name).flatten(), dtype=np.int64).view(np.uint64))
+
+
+def _line_templates(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, tree: TemplateTree, busy: Keys, constant: Keys):
+    """For each piece of a run: its lines, its offset and what `Lines.templates` gives."""
+    leaves, tokens = busy.of(part), constant.of(part)
     for piece, at in _pieces(raw, off):
-        key, counts = piece.leaf_tokens(tree)
-        yield piece, at, piece.templates(tree, _in(constant, key) >= 0, counts)
+        which, key = piece.leaf_tokens(tree, leaves)
+        yield piece, at, piece.templates(tree, which[_in(tokens, key) < 0])
 
 
-def _templates(batches: Iterator[pa.RecordBatch], tree: TemplateTree, constant, with_uid: bool) -> Iterator[pa.RecordBatch]:
-    """h, id, long: each document's templates once (with_uid: the row's number in place of the id)."""
+def _templates(batches: Iterator[pa.RecordBatch], tree: TemplateTree, busy: Keys, constant: Keys, who: str) -> Iterator[pa.RecordBatch]:
+    """h, id, long: each document's templates once, with its column `who`."""
     for batch in batches:
         for part, raw, off in text_slices(batch, "t", _PIECE):
             keys, docs, longs = [], [], []
-            for piece, _, (plain, general, stands, long) in _line_templates(part, raw, off, tree, constant.value if constant else None):
+            for piece, _, (plain, general, stands, long) in _line_templates(part, raw, off, tree, busy, constant):
                 some = piece.n > 0
                 keys += [plain[some], general[stands]]
                 docs += [piece.doc[some], piece.doc[stands]]
                 longs += [long[some], np.zeros(stands.sum(), bool)]
             key, doc, long = np.concatenate(keys), np.concatenate(docs), np.concatenate(longs)
             first = _once(doc, key)
-            who = part.column(UID if with_uid else "id").take(pa.array(doc[first]))
-            yield pa.RecordBatch.from_pydict({"h": pa.array(key[first].view(np.int64)), "id": who, "long": pa.array(long[first])})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(key[first].view(np.int64)), "id": part.column(who).take(pa.array(doc[first])), "long": pa.array(long[first])})
 
 
 def _edited(raw: bytes, lines: list[tuple[int, int, bool]]) -> str:
     return b"\n".join(raw[a:b] for a, b, gone in lines if not gone).decode()
 
 
-def _dropped(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, tree: TemplateTree, constant: np.ndarray | None, keys: np.ndarray, firsts: pa.Array, keep_first: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _dropped(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, tree: TemplateTree, busy: Keys, constant: Keys, keys: np.ndarray, firsts: pa.Array, keep_first: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The edited texts, and each document's number of lines and of dropped lines."""
     ids, n_docs = part.column("id"), len(off) - 1
     lines, gone, many = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64), len(off) == 2 and len(raw) > 2 * _PIECE
     spans: dict[int, list[tuple[int, int, bool]]] = {}
-    for piece, shift, (plain, general, stands, _) in _line_templates(part, raw, off, tree, constant):
+    for piece, shift, (plain, general, stands, _) in _line_templates(part, raw, off, tree, busy, constant):
         drop = np.zeros(len(piece.n), bool)
         for key, may in ((plain, piece.n > 0), (general, stands)):
             at = _in(keys, key)
@@ -238,19 +259,32 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     flat = docs.select(*[F.col(c).alias(n) for n, c in rest.items()], F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"))
     kind = flat.schema["id"].dataType.simpleString()
 
-    counts = flat.select("t").mapInArrow(lambda b: _leaf_counts(b, tree), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    constant = materialize(counts.where(F.col("n") >= tree.min_docs).select("p"))
-    by_join = constant.count() > broadcast_rows
-    if by_join:
-        flat = materialize(flat.withColumn(UID, F.monotonically_increasing_id()))
-        own = flat.select(UID, "t").mapInArrow(lambda b: _exploded_leaves(b, tree), "p long, u long").join(constant, "p").groupBy("u").agg(F.collect_set("p").alias("constant"))
+    def frequent(keys_of, name: str) -> Keys:
+        """The keys that at least `min_docs` documents have."""
+        nonlocal flat
+        columns = [c for c in flat.columns if c in ("t", "busy")]
+        counts = flat.select(*columns).mapInArrow(lambda b: _documents(b, keys_of), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+        keys = materialize(counts.where(F.col("n") >= tree.min_docs).select("p"))
+        if keys.count() <= broadcast_rows:
+            return Keys(name, spark.sparkContext.broadcast(np.sort(np.asarray(keys.toArrow()["p"], dtype=np.int64).view(np.uint64))))
+        if UID not in flat.columns:
+            flat = materialize(flat.withColumn(UID, F.monotonically_increasing_id()))
+        own = flat.select(UID, *columns).mapInArrow(lambda b: _exploded(b, keys_of), "p long, u long").join(keys, "p").groupBy("u").agg(F.collect_set("p").alias(name))
         flat = materialize(flat.join(own, flat[UID] == own["u"], "left").drop("u"))
-        known = None
-    else:
-        keys = np.asarray(constant.toArrow()["p"], dtype=np.int64).view(np.uint64)  # at most broadcast_rows
-        known = spark.sparkContext.broadcast(np.sort(keys))
+        return Keys(name)
+
+    def line_keys(piece: Lines, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        some = piece.n >= tree.min_tokens
+        return piece.leaves(tree)[some], piece.doc[some]
+
+    busy = frequent(line_keys, "busy")
+
+    def token_keys(piece: Lines, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        which, key = piece.leaf_tokens(tree, busy.of(part))
+        return key, piece.doc[piece.line[which]]
 
-    told = flat.mapInArrow(lambda b: _templates(b, tree, known, False), f"h long, id {kind}, long boolean")
+    constant = frequent(token_keys, "constant")
+    told = flat.mapInArrow(lambda b: _templates(b, tree, busy, constant, "id"), f"h long, id {kind}, long boolean")
     told = told.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("long").alias("long"))
     recurring = materialize(told.where((F.col("n") >= tree.min_docs) | (F.col("long") & (F.col("n") >= tree.long_docs))).select("h", "first"))
 
@@ -258,7 +292,7 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     schema = T.StructType([*kept, T.StructField("t", T.StringType()), T.StructField("nl", T.LongType()), T.StructField("nd", T.LongType())])
 
     def edit(part: pa.RecordBatch, raw, off, keys: np.ndarray, firsts: pa.Array) -> pa.RecordBatch:
-        texts, lines, gone = _dropped(part, raw, off, tree, known.value if known else None, keys, firsts, keep_first)
+        texts, lines, gone = _dropped(part, raw, off, tree, busy, constant, keys, firsts, keep_first)
         return pa.RecordBatch.from_pydict({f.name: part.column(f.name) for f in kept} | {"t": texts, "nl": pa.array(lines), "nd": pa.array(gone)})
 
     if recurring.count() <= broadcast_rows:
@@ -276,7 +310,7 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     else:
         if UID not in flat.columns:
             flat = materialize(flat.withColumn(UID, F.monotonically_increasing_id()))
-        at = flat.mapInArrow(lambda b: _templates(b, tree, known, True), "h long, id long, long boolean").join(recurring, "h")
+        at = flat.mapInArrow(lambda b: _templates(b, tree, busy, constant, UID), "h long, id long, long boolean").join(recurring, "h")
         mine = at.groupBy(F.col("id").alias("u")).agg(F.collect_list(F.struct("h", "first")).alias("recurring"))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,22 +103,28 @@ def test_long_texts_in_pieces(spark, monkeypatch):
         assert len(pieces) > 3
         assert np.concatenate([p.start + a for p, a in pieces]).tolist() == whole.start.tolist()
         assert np.concatenate([p.stop + a for p, a in pieces]).tolist() == whole.stop.tolist()
-        assert np.array_equal(np.concatenate([p.hash for p, _ in pieces]), whole.hash)
+        assert np.array_equal(np.concatenate([p.leaves(TREE) for p, _ in pieces]), whole.leaves(TREE))
     want = brute(rows)
     batch = __import__("pyarrow").RecordBatch.from_pydict({"id": [i for i, _ in rows], "t": [t for _, t in rows]})
-    counts = {}
-    for b in lines._leaf_counts([batch], TREE):
-        for p, n in zip(b["p"].to_numpy().view(np.uint64).tolist(), b["n"].to_pylist(), strict=True):
-            counts[p] = counts.get(p, 0) + n
-    constant = np.array(sorted(p for p, n in counts.items() if n >= 5), np.uint64)
-    told = [r for b in lines._templates([batch], TREE, type("Sent", (), {"value": constant}), False) for r in b.to_pylist()]
+    sent = lambda keys: lines.Keys("", type("Sent", (), {"value": np.array(sorted(keys), np.uint64)}))
+
+    def frequent(keys_of):
+        counts = {}
+        for b in lines._documents([batch], keys_of):
+            for p, n in zip(b["p"].to_numpy().view(np.uint64).tolist(), b["n"].to_pylist(), strict=True):
+                counts[p] = counts.get(p, 0) + n
+        return sent(p for p, n in counts.items() if n >= 5)
+
+    busy = frequent(lambda piece, _: (piece.leaves(TREE), piece.doc))
+    constant = frequent(lambda piece, _: (lambda which, key: (key, piece.doc[piece.line[which]]))(*piece.leaf_tokens(TREE, busy.sent.value)))
+    told = [r for b in lines._templates([batch], TREE, busy, constant, "id") for r in b.to_pylist()]
     docs = {}
     for r in told:
         docs.setdefault(r["h"], set()).add(r["id"])
     keys = np.array(sorted(np.uint64(h % 2**64) for h, ids in docs.items() if len(ids) >= 5), np.uint64)
     got = []
     for part, raw, off in lines.text_slices(batch, "t", 300):
-        t, n, gone = lines._dropped(part, raw, off, TREE, constant, keys, __import__("pyarrow").array([0] * len(keys)), False)
+        t, n, gone = lines._dropped(part, raw, off, TREE, busy, constant, keys, __import__("pyarrow").array([0] * len(keys)), False)
         got += zip(part["id"].to_pylist(), t.to_pylist(), n.tolist(), gone.tolist(), strict=True)
     assert sorted(got, key=repr) == want
 
