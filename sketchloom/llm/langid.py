@@ -6,9 +6,13 @@ gathers and segment sums. Document frequencies are counted over every document t
 fitted by follow-the-regularised-leader (per-coordinate rates, elastic-net penalties) on a bounded sample of them
 (`max_train`), and one temperature is then fitted to a fifth of that sample kept aside.
 
+Long texts are read whole, in pieces that overlap by two characters: counts and sums of pieces add up exactly.
+
 Defined results: a text that is null or has no letter is `und` with score 0; null labels are never learned from;
-repeated rows predict alike; if there is no label to learn from everything is `und` with score 0, and with a single
-label that label has score 1; an empty table gives an empty result; ties go to the label first in order.
+repeated rows predict alike and count once in the fitted sample (in the document frequencies they count each time); if
+there is no label to learn from everything is `und` with score 0, and with a single label that label has score 1; an
+empty table gives an empty result; ties go to the label first in order; columns named like the added ones are kept, and
+the added ones get an underscore.
 """
 
 from __future__ import annotations
@@ -33,14 +37,28 @@ _SCALE = 20.0  # brings mean TF-IDF values to the order of 1
 _KEYS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
-def gram_numbers(text: str) -> list[np.ndarray]:
-    """Feature numbers of the 1-, 2- and 3-grams of a text, one per position."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out, h = [], np.zeros(len(c), np.uint32)
-    for n, key in enumerate(_KEYS):
-        h = (h[: max(0, len(c) - n)] ^ c[n:]) * key  # wraps
-        h ^= h >> np.uint32(15)
-        out.append((h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS))
+#: Characters that are turned into n-grams at once.
+_PIECE = 250_000
+
+
+def gram_numbers(text: str) -> Iterator[np.ndarray]:
+    """Feature numbers of the 1-, 2- and 3-grams of a text, one per position, in pieces of the text."""
+    low = text.lower()  # as a whole, since the end of a word can matter
+    for a in range(0, len(low), _PIECE):
+        c = np.frombuffer(low[a : a + _PIECE + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = min(_PIECE, len(low) - a)
+        h = np.zeros(len(c), np.uint32)
+        for n, key in enumerate(_KEYS):
+            h = (h[: max(0, len(c) - n)] ^ c[n:]) * key  # wraps
+            h ^= h >> np.uint32(15)
+            yield (h[:own] * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
+
+
+def gram_counts(text: str) -> np.ndarray:
+    """How often each feature occurs in a text."""
+    out = np.zeros(DIMENSIONS, np.int64)
+    for g in gram_numbers(text):
+        out += np.bincount(g, minlength=DIMENSIONS)
     return out
 
 
@@ -53,10 +71,11 @@ class LanguageModel:
     temperature: float
 
     def logits(self, text: str) -> np.ndarray:
-        grams = np.concatenate(gram_numbers(text))
-        if not len(grams):
-            return self.bias.astype(np.float64)
-        return self.weight[grams].mean(axis=0, dtype=np.float64) * _SCALE + self.bias
+        total, n = np.zeros(len(self.labels)), 0
+        for grams in gram_numbers(text):
+            total += self.weight[grams].sum(axis=0, dtype=np.float64)
+            n += len(grams)
+        return total / max(1, n) * _SCALE + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.labels or text is None or not _LETTER.search(text):
@@ -89,7 +108,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], weights: n
         second = np.where(f == DIMENSIONS, 0.0, l2)[:, None]
         return np.where(np.abs(zf) <= first, 0.0, -(zf - np.sign(zf) * first) / ((beta + np.sqrt(nf)) / alpha + second))
 
-    feats = [(np.append(f, DIMENSIONS), np.append(tf * weights[f] * _SCALE, 1.0)) for f, tf in rows]
+    feats = [(np.append(f, DIMENSIONS).astype(np.int32), np.append(tf * weights[f] * _SCALE, 1.0).astype(np.float32)) for f, tf in rows]
     for _ in range(epochs if k > 1 else 0):
         for i in rng.permutation(train):
             f, x = feats[i]
@@ -141,11 +160,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the features of their text and each one's share, 8 bytes each."""
     for batch in batches:
-        for row in batch.to_pylist():
-            f, n = np.unique(np.concatenate(gram_numbers(row["t"])), return_counts=True)
-            tf = (n / max(1, n.sum())).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"y": pa.array([row["y"]], pa.string()), "f": pa.array([f.astype(np.int32).tobytes()], pa.binary()), "tf": pa.array([tf.tobytes()], pa.binary())})
+        for i, y, t in zip(batch.column("id").cast(pa.string()), batch.column("y"), batch.column("t"), strict=True):
+            text = t.as_py()
+            if len(text) <= _PIECE:
+                f, n = np.unique(np.concatenate([*gram_numbers(text), np.zeros(0, np.uint32)]).astype(np.int64), return_counts=True)
+            else:
+                n = gram_counts(text)
+                f = np.flatnonzero(n)
+                n = n[f]
+            pairs = np.empty(len(f), [("f", np.int32), ("tf", np.float32)])
+            pairs["f"], pairs["tf"] = f, n / max(1, n.sum())
+            yield pa.RecordBatch.from_pydict({"id": pa.array([i.as_py()], pa.string()), "y": pa.array([y.as_py()], pa.string()), "x": pa.array([pairs.tobytes()], pa.binary())})
 
 
 def train_language(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "lang", max_train: int = 6000, seed: int = 3) -> LanguageModel:
@@ -159,11 +186,13 @@ def train_language(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text:
     if not total:
         return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), 1.0)
     share = min(1.0, max_train / total)
-    some = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = sorted((r["y"], bytes(r["f"]), bytes(r["tf"])) for r in some.select("t", "y").mapInArrow(_frequencies, "y string, f binary, tf binary").limit(3 * max_train).collect())  # bounds repeated ids
-    if not rows:
+    some = base.where(F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    once = some.select("id", "t", "y").mapInArrow(_frequencies, "id string, y string, x binary").groupBy("id", "y", "x").count()  # repeated rows once
+    got = once.select("id", "y", "x").toArrow().sort_by([("y", "ascending"), ("x", "ascending"), ("id", "ascending")])
+    if not got.num_rows:
         return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), 1.0)
-    return fit([(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32).astype(np.float64)) for _, a, b in rows], [y for y, _, _ in rows], idf(df, total), seed=seed)
+    pairs = [np.frombuffer(x.as_py(), [("f", np.int32), ("tf", np.float32)]) for x in got["x"]]
+    return fit([(p["f"], p["tf"]) for p in pairs], got["y"].to_pylist(), idf(df, total), seed=seed)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ N-grams are taken over whole texts, each stream hashed into 2**16 features of it
 
 A feature counts once per document; its value is the log ratio of its smoothed shares in the two classes, and rows have
 unit length. The dual coordinate descent solver runs on the driver over a bounded sample of labelled rows (`max_train`,
-chosen by a hash of the id), of which a fifth calibrates the margin to a probability.
+chosen by a hash of the id, and where many rows share an id of the text too), of which a fifth calibrates the margin to
+a probability.
 
 Defined results: null and empty texts have no features and get the calibrated score of the bias; rows without a label,
 or of the held-out fold, are scored and never learned from; repeated rows score alike and are learned from once; of
@@ -217,6 +218,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str
     # about max_train ids, written out: the join is planned by the size that they have
     told = materialize(told.where(learn & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))))
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(told, "id")
+    rows = max(1, base.select("id").count())
+    if rows > 2 * max_train:  # ids that many rows share: of those rows too, some are chosen by a hash
+        base = base.where(F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.lit(1 << 30)) < int(2 * max_train / rows * (1 << 30)))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
