@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from sketchloom.llm import decontaminate as d
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -64,3 +66,29 @@ def test_empty_tables(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert d.find_contamination(df.where("false"), bench).count() == 0
     assert {r["n_hit"] for r in d.find_contamination(df, bench.where("false")).collect()} == {0}
+
+
+def test_texts_and_items_in_pieces(monkeypatch):
+    docs, items = case()
+    items = [(str(i) if i is not None else None, t) for i, t in items] + [("long", " ".join(t or "" for _, t in items))]
+    want = brute(docs, items)
+    monkeypatch.setattr(d, "_PIECE", 40)
+    monkeypatch.setattr(d, "_ITEM_WORDS", 7)
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in items], "text": [t for _, t in items]})
+    parts = sorted({(r["id"], r["words"]) for b in d._items([batch], 13) for r in b.to_pylist()}, key=repr)
+    assert sum(i == "long" for i, _ in parts) > 5
+    rows = pa.RecordBatch.from_pydict({"i": [i for i, _ in docs], "t": [t for _, t in docs]})
+    got = []
+    for b in d._scan([rows], parts, 13, "t", False):
+        for r in b.to_pylist():
+            got.append((r["i"], r["__n"], sum(h["end"] - h["start"] for h in r["__hits"]), r["__items"]))
+    assert sorted(got, key=repr) == want
+
+
+def test_a_worker_holds_one_automaton():
+    for k in range(3):
+        d._windows([(None, f"a b c {k}")], 13)
+    assert len(d._held) == 1
+    many = d.Windows([("x", " ".join(f"w{i}" for i in range(3000)))], 13)  # two-digit word numbers
+    found = list(many.scan([b"w17", b"no", *[f"w{i}".encode() for i in range(500, 514)], b"w600"]))
+    assert [(a, b) for a, b, _ in found] == [(2, 15), (3, 16)]
