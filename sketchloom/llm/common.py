@@ -36,16 +36,30 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and rows stay fixed.
+#: Drops the shuffle files of a write when it ends (Spark 4.1): its result is a table then.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_out(df: DataFrame, path: str) -> DataFrame:
+    """Write `df` to `path` and read it back: lineage ends there and rows stay fixed.
 
-    Lost executors then only cost a reread. Column order and types are kept.
+    Lost executors then only cost a reread. Column order and types are kept. Shuffle files of the write go at once.
     """
-    spark, path = df.sparkSession, work_dir(df.sparkSession)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """`write_out` to a new path in the shared folder."""
+    return write_out(df, work_dir(df.sparkSession))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove an intermediate folder that no later step reads."""
     jvm = spark.sparkContext._jvm

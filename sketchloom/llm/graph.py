@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, work_dir
+from .common import drop_path, work_dir, write_out
 
 
 def _kept(df: DataFrame, paths: list[str]) -> DataFrame:
     """Write `df` to the shared folder: a join then deals it out itself and can split a hub's rows."""
     paths.append(work_dir(df.sparkSession))
-    df.write.parquet(paths[-1])
-    return df.sparkSession.read.schema(df.schema).parquet(paths[-1])
+    return write_out(df, paths[-1])
 
 
 def _round(edges: DataFrame, paths: list[str]) -> DataFrame:

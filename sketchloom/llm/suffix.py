@@ -15,30 +15,33 @@ To distribute it, the text is cut by content into overlapping neighbourhoods, so
 3. Distinct neighbourhoods are dealt out by anchor hash. Each task sorts the suffixes of whole groups, about a million
    bytes at a time, and reports the strings that two neighbourhoods share. Neighbourhoods that meet no other of their
    anchor need no sorting. A group of more than `hot_bytes` is cut again by longer anchors inside it (`LEVELS`), the
-   last being the strings themselves, so no group meets in one task.
+   last being the strings themselves; a group of up to `hot_bytes` meets in one task.
 4. Repeated strings are carried back to all occurrences and merged to byte runs per distinct text.
 
+In a periodic run (one byte or a short phrase over and over) each string starts again one period later, so all of them
+are repeated there and then; only those of the first period stay, for other texts to meet.
+
 Texts are moved twice, compressed, each distinct text once; copies only count. Hashes only bring candidates together,
 so their collisions cost time but change no result; texts and neighbourhoods are told apart by 128-bit digests.
 
 Defined results: a null text counts as empty; texts shorter than `width` lose nothing; matches never cross texts and
-may overlap themselves; repeated rows count as copies of each other, so they go entirely if they are long enough; an
-empty table gives an empty result; extra columns are left out.
+may overlap themselves; repeated rows count as copies of each other, so they go entirely if they are long enough; equal
+and null ids are rows like others; an empty table gives an empty result; a very long text is read whole, in pieces;
+extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, text_slices, work_dir
+from .common import drop_path, text_slices, work_dir, write_out
 
 KGRAM = 48
 #: Anchors inside hot groups, as shares of the width.
@@ -83,43 +86,89 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[:n], m[w - s : w - s + n])
 
 
-def anchor_ranges(raw: np.ndarray, off: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def periodic_runs(raw: np.ndarray, anchors: np.ndarray, same: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(start, stop, period): the strings that start in [start, stop) start again one period later, in the same text.
+
+    anchors: places of a text's anchors one after the other; same: whether the next one has an equal hash, not far away;
+    first, last: the first and the last string of each.
+    """
+    out = []
+    gap = np.diff(anchors)
+    pair = np.flatnonzero(same)
+    if not len(pair):
+        return out
+    cut = np.flatnonzero((np.diff(pair) != 1) | (gap[pair[1:]] != gap[pair[:-1]])) + 1
+    for chain in np.split(pair, cut):
+        p, a, b = int(gap[chain[0]]), int(first[chain[0]]), int(last[chain[-1] + 1]) + width
+        alike = raw[a : b - p] == raw[a + p : b]
+        for s, e in zip(*_runs(alike), strict=True):
+            if e - s >= width:
+                out.append((a + int(s), a + int(e) - width + 1, p))
+    return out
+
+
+def anchor_ranges(raw: np.ndarray, off: np.ndarray, width: int, k: int, spans: list[tuple[int, int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each anchor: its hash, its text's number, the first string that has it (relative to the text), and how many more.
 
-    off: offsets of the texts in `raw`.
+    off: offsets of the texts in `raw`. With `spans`, strings that repeat one of their own text's by period are left
+    out, and (text, from, to) of the bytes that they and what they repeat cover is appended to it.
     """
     none = np.zeros(0, np.int64)
     if len(raw) < width:
         return none, none, none, none
     h = kgram_hashes(raw, k)
     low = np.uint64((1 << 24) - 1)
-    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), width - k + 1) & low  # ties: the first
+    least = (sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), width - k + 1) & low).astype(np.int64)  # ties: the first
     fits, begins = np.ones(len(raw), bool), np.zeros(len(raw) + 1, bool)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
         fits[max(a, b - width + 1) : b] = False  # strings do not leave their text
         begins[a] = True
-    starts = np.flatnonzero(fits)
+
+    def groups() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Strings, their anchors, and where a new group of strings with one anchor begins."""
+        starts = np.flatnonzero(fits)
+        at = least[starts]
+        new = np.ones(len(starts), bool)
+        new[1:] = (at[1:] != at[:-1]) | (np.diff(starts) != 1) | begins[starts[1:]]
+        return starts, at, np.flatnonzero(new)
+
+    starts, at, first = groups()
     if not len(starts):
         return none, none, none, none
-    at = least[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (at[1:] != at[:-1]) | begins[starts[1:]]
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(starts)]]))
+    if spans is not None:
+        text = np.searchsorted(off, starts[first], "right") - 1
+        spot = at[first]
+        same = (h[spot[1:]] == h[spot[:-1]]) & (np.diff(spot) <= width - k) & (text[1:] == text[:-1])
+        last = starts[np.append(first[1:], len(starts)) - 1]
+        found = periodic_runs(raw, spot, same, starts[first], last, width)
+        for a, b, p in found:
+            fits[a + p : b + p] = False
+            t = int(np.searchsorted(off, a, "right")) - 1
+            spans.append((t, a - int(off[t]), b - 1 + p + width - int(off[t])))
+        if found:
+            starts, at, first = groups()
+    count = np.diff(np.append(first, len(starts)))
     text = np.searchsorted(off, starts[first], "right") - 1
-    return h[at[first].astype(np.int64)].view(np.int64), text, starts[first] - off[text], count - 1
+    return h[at[first]].view(np.int64), text, starts[first] - off[text], count - 1
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
-    """h, d, at, more: an anchor's hash, its text's key, its first string and how many follow."""
+    """h, e, at, more: an anchor's hash, its text's digest, its first string and how many follow.
+
+    Rows without a hash tell bytes that repeat within the text: from `at`, and how many.
+    """
     for batch in batches:
         for part, raw, off in text_slices(batch, "t", _PIECE):
-            d = np.asarray(part.column("d"))
             for lo in range(0, max(1, len(raw)), _PIECE) if len(off) == 2 else (0,):
                 # a very long text stands alone and is done piece by piece; pieces share the bytes of their last strings
                 cut = raw[lo : lo + _PIECE + width - 1] if len(off) == 2 else raw
-                h, text, at, more = anchor_ranges(cut, np.array([0, len(cut)]) if len(off) == 2 else off, width, k)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h), "d": pa.array(d[text]), "at": pa.array(at + lo), "more": pa.array(more.astype(np.int32))})
+                spans: list[tuple[int, int, int]] = []
+                h, text, at, more = anchor_ranges(cut, np.array([0, len(cut)]) if len(off) == 2 else off, width, k, spans)
+                text = np.concatenate([text, np.array([t for t, _, _ in spans], np.int64)])
+                at = np.concatenate([at, np.array([a for _, a, _ in spans], np.int64)])
+                more = np.concatenate([more, np.array([b - a for _, a, b in spans], np.int64)])
+                hash_ = pa.array(np.append(h, np.zeros(len(spans), np.int64)), mask=np.arange(len(text)) >= len(h))
+                yield pa.RecordBatch.from_pydict({"h": hash_, "e": part.column("e").take(pa.array(text)), "at": pa.array(at + lo), "more": pa.array(more.astype(np.int32))})
 
 
 def ranks(t: np.ndarray, span: int, width: int) -> np.ndarray:
@@ -302,12 +351,6 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, kinds, strict=True))})
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps (it does when their plans are garbage-collected)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _told(shared: DataFrame, twice: DataFrame) -> DataFrame:
     """c and the runs of its repeated strings; null runs mean all of them."""
     w = twice.select(F.col("c").alias("c2"))
@@ -355,7 +398,7 @@ def _shared_runs(bodies: DataFrame, width: int, hot_bytes: int, keep, level: int
     return cold.unionByName(back)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, kgram: int = KGRAM, with_text: bool = False, hot_bytes: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, kgram: int = KGRAM, with_text: bool = False, hot_bytes: int = 200_000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes) of every document."""
     if not 1 <= kgram <= width:
         raise ValueError("kgram must be between 1 and width")
@@ -366,20 +409,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def keep(df: DataFrame) -> DataFrame:
         paths.append(work_dir(spark))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
+        return write_out(df, paths[-1])
 
     # 1. anchors; equal texts give equal rows, which only count
-    keyed = base.select(F.xxhash64("t").alias("d"), "t").where(F.octet_length("t") >= width)
-    anchors = keep(keyed.mapInArrow(lambda b: _anchors(b, width, kgram), "h long, d long, at long, more int").groupBy("h", "d", "at", "more").agg(F.count("*").alias("m")))
-    _release(spark)
+    digest = F.unhex(F.md5("t")).alias("e")
+    keyed = base.select(digest, "t").where(F.octet_length("t") >= width)
+    anchors = keep(keyed.mapInArrow(lambda b: _anchors(b, width, kgram), "h long, e binary, at long, more int").groupBy("h", "e", "at", "more").agg(F.count("*").alias("m")))
+    periods = keep(anchors.where("h is null").select("e", "at", "more"))
     # written out, so that the join deals both sides itself and can split a hot anchor's rows
-    often = keep(anchors.groupBy("h").agg(F.sum("m").alias("n")).where("n > 1").select("h"))
-    _release(spark)
-    repeated = keep(anchors.join(often, "h").select("h", "d", "at", "more", "m"))
-    for p in paths[:2]:
+    often = keep(anchors.groupBy("h").agg(F.sum("m").alias("n")).where("n > 1 and h is not null").select("h"))
+    repeated = keep(anchors.join(often, "h").select("h", "e", "at", "more", "m"))
+    for p in (paths[0], paths[2]):
         drop_path(spark, p)
-    _release(spark)
 
     # 2. neighbourhoods, from each distinct text once
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,29 +429,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out = [z.compress((x.as_py() or "").encode()) for x in batch.column("t")]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names if c != "t"} | {"z": pa.array(out, pa.binary())})
 
-    packed = base.select(F.xxhash64("t").alias("d"), F.unhex(F.md5("t")).alias("e"), "t").mapInArrow(pack, "d long, e binary, z binary")
-    places = repeated.groupBy("d").agg(F.collect_list(F.struct("h", "at", "more", "m")).alias("places"))
-    texts = packed.dropDuplicates(["d", "e"])
-    found = keep(texts.join(places, "d").select("e", "z", "places").mapInArrow(lambda b: _neighbourhoods(b, width), "c binary, h long, e binary, at long, more int, m long, body binary"))
-    _release(spark)
+    packed = base.select(digest, "t").mapInArrow(pack, "e binary, z binary")
+    places = repeated.groupBy("e").agg(F.collect_list(F.struct("h", "at", "more", "m")).alias("places"))
+    found = keep(packed.dropDuplicates(["e"]).join(places, "e").select("e", "z", "places").mapInArrow(lambda b: _neighbourhoods(b, width), "c binary, h long, e binary, at long, more int, m long, body binary"))
 
     # 3. suffix arrays over the distinct neighbourhoods of an anchor
     shared = keep(_shared_runs(found.where("body is not null").select("h", "c", "body"), width, hot_bytes, keep))
-    _release(spark)
 
     # 4. back to the occurrences: whole neighbourhoods that occur twice, and the runs of the others
     told = _told(shared, found.groupBy("c").agg(F.sum("m").alias("w")).where("w > 1"))
     told = keep(told)
-    _release(spark)
     spots = found.select("c", "e", "at", "more").join(told, "c")
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("at") + F.get("runs", i)).alias("a"), (F.col("at") + F.get("runs", i + 1) + width - 1).alias("b")))
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("more") + width).alias("b")))
-    gone = spots.select("e", F.when(F.col("runs").isNull(), whole).otherwise(pairs).alias("r")).groupBy("e").agg(F.flatten(F.collect_list("r")).alias("runs"))
-    gone = keep(gone)
-    for p in paths[2:-1]:
+    inside = periods.select("e", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("more")).alias("b"))).alias("r"))
+    gone = spots.select("e", F.when(F.col("runs").isNull(), whole).otherwise(pairs).alias("r")).unionByName(inside)
+    gone = keep(gone.groupBy("e").agg(F.flatten(F.collect_list("r")).alias("runs")))
+    for p in [paths[1], *paths[3:-1]]:
         drop_path(spark, p)
-    _release(spark)
     cut = packed.dropDuplicates(["e"]).join(gone, "e", "left").select("e", "z", "runs")
     done = cut.mapInArrow(lambda b: _cut(b, with_text), "e binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     done = done if with_text else keep(done.drop("kept"))  # a narrow table, so copies can be joined to it evenly
-    return base.select("id", F.unhex(F.md5("t")).alias("e")).join(done, "e").drop("e")
+    return base.select("id", digest).join(done, "e").drop("e")

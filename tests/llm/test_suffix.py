@@ -89,7 +89,8 @@ def test_prefix_order_when_recursion_ends_early():
 
 
 def test_long_text_in_pieces(spark, monkeypatch):
-    texts = ["".join(random.Random(5).choice("abc ") for _ in range(9000)), None]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc ") for _ in range(9000)), None]
     texts[1] = "q" * 50 + texts[0][4000:4700] + "r" * 30
     want = brute(texts, 200)
     whole = {(h, a) for h, _, a, _ in zip(*suffix.anchor_ranges(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, 9000]), 200, 48), strict=True)}
@@ -98,7 +99,7 @@ def test_long_text_in_pieces(spark, monkeypatch):
     got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(df).collect()}
     assert [got[0], got[1]] == want
     monkeypatch.setattr(suffix, "_PIECE", 1000)
-    batch = __import__("pyarrow").RecordBatch.from_pydict({"d": [7], "t": [texts[0]]})
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"e": [b"7"], "t": [texts[0]]})
     pieces = {(h, a + i) for b in suffix._anchors([batch], 200, 48) for h, a, n in zip(b["h"].to_pylist(), b["at"].to_pylist(), b["more"].to_pylist(), strict=True) for i in range(n + 1)}
     full = {(h, a + i) for h, _, a, n in zip(*suffix.anchor_ranges(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, 9000]), 200, 48), strict=True) for i in range(n + 1)}
     assert pieces == full
@@ -109,3 +110,34 @@ def test_kept_bytes_and_empty(spark):
     got = {r["id"]: bytes(r["kept"]) for r in suffix.remove_repeats(df, width=4, kgram=2, with_text=True).collect()}
     assert got == {1: b"-", None: b"b", 2: b"zz"}
     assert suffix.remove_repeats(df.where("false")).count() == 0
+
+
+def periodic(rng, width):
+    unit = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    out = []
+    for n in (1, 2, 3, 7, width // 4, width // 2, width - 1, width, width + 1):
+        u = unit(n)
+        run = u * (4 * width // n + 2)
+        out += [unit(30) + run[: rng.randint(width, len(run))] + unit(40), run[n // 2 :][: width + rng.randint(0, n)], unit(9) + run[1:][: width] + "!"]
+        out.append(run[: 2 * width] + unit(3) + run[: 2 * width])
+    return [*out, "a" * (3 * width) + "b" * (3 * width), "ab" * width + "a" * width, "é" * (2 * width), "x" * width, "x" * (width - 1), "y" * (width + 1)]
+
+
+@pytest.mark.parametrize("width,kgram", [(40, 10), (60, 48), (8, 3), (5, 1)])
+def test_periodic_texts_match_brute_force(spark, width, kgram):
+    texts = periodic(random.Random(width), width)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(df, width=width, kgram=kgram).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, width)
+
+
+def test_periodic_runs_have_few_anchors(spark):
+    for unit in (b"a", b"ab", b"abcdefghi", b"some phrase of words, "):
+        raw = np.frombuffer(unit * (300_000 // len(unit)), np.uint8)
+        spans = []
+        h, _, _, more = suffix.anchor_ranges(raw, np.array([0, len(raw)]), 200, 48, spans)
+        assert (more + 1).sum() == len(unit) and spans == [(0, 0, len(raw))]
+    texts = ["a" * 5_000_000, "b" + "a" * 200 + "c", "a" * 199]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["n_removed"] for r in suffix.remove_repeats(df).collect()}
+    assert got == {0: 5_000_000, 1: 200, 2: 0}
