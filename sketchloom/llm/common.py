@@ -116,6 +116,47 @@ def first_free(columns: list[str], name: str) -> str:
     return name
 
 
+#: Bits of a sieve: 4 MB, whatever the data.
+SIEVE_BITS = 1 << 25
+
+
+def sieve_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash that a key of a one-column table has: keys whose bit is not set are not in it."""
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(SIEVE_BITS))
+    words = keys.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    out[np.asarray(words["w"], dtype=np.int64)] = np.asarray(words["b"], dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def sifted(rows: DataFrame, key: str, sieve: np.ndarray, may: bool) -> DataFrame:
+    """The rows whose key may be among those of the sieve, or those whose key is surely not.
+
+    Wide rows that a join would only throw away need not be shuffled then; a full sieve stops nothing, and the join
+    that follows decides in any case.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(sieve)
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    flat = rows.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names, strict=True)], F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)).alias("at"))
+
+    def run(batches):
+        for batch in batches:
+            at = np.asarray(batch.column("at"))
+            hit = (sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield batch.select(names).filter(pa.array(hit == may))
+
+    out = flat.mapInArrow(run, flat.drop("at").schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(rows.columns, names, strict=True)])
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in a one-column table. `rows` and `gone` are read more than once: tables, not plans."""
+    sieve = sieve_of(gone)
+    g = gone.toDF("__gone")
+    maybe = sifted(rows, key, sieve, True)
+    return sifted(rows, key, sieve, False).unionByName(maybe.join(g, maybe[key] == g["__gone"], "left_anti"))
+
+
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _SIGN = np.uint64(0x9E3779B97F4A7C15)
 

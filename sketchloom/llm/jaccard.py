@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, sieve_of, sifted, text_slices
 from .graph import connected_components
 from .simhash import linked_in_buckets, majority_bits, shingle_hashes
 
@@ -167,7 +167,8 @@ def verified_links(base: DataFrame, members: DataFrame, shingle: int, at_least:
     key = lambda i, j: F.concat(number(F.col("root"), 16), number(i), number(j))
     both = F.transform(F.sequence(F.lit(0), F.greatest(tiles - 1, F.lit(0))), lambda j: key(F.least(mine, j), F.greatest(mine, j)))
     sent = members.join(sizes, "root").select("id", "node", F.explode(both).alias("key"))
-    texts = base.join(sent, "id").select("key", "node", "t")
+    sent = materialize(sent)
+    texts = sifted(base, "id", sieve_of(sent.select("id")), True).join(sent, "id").select("key", "node", "t")  # the other texts stay where they are
     texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
     return texts.mapInArrow(lambda b: _verified(b, shingle, at_least), "a long, b long")
 
