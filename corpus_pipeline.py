@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import decontaminate, jaccard, lines, mixing, quality
-from sketchloom.llm.common import UID, drop_path, held_out, materialize, table, work_dir
+from sketchloom.llm.common import UID, drop_path, held_out, materialize, table, without, work_dir
 from sketchloom.llm.queries import quality_weight
 
 
@@ -36,10 +36,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = materialize(docs.withColumn(UID, F.monotonically_increasing_id()))
     groups = materialize(jaccard.similar_groups(rows, doc_id=UID))
-    # the representative of a group: the row with its smallest doc_id
+    # the representative of a group is the row with its smallest doc_id; the others go
     members = groups.select(F.col("id").alias("u"), "component_id").join(rows.select(F.col(UID).alias("u"), "doc_id"), "u")
-    stay = members.groupBy("component_id").agg(F.min_by("u", F.struct(F.col("doc_id").isNull(), "doc_id", "u")).alias("u")).select("u")
-    return rows.join(stay, rows[UID] == stay["u"], "left_semi").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "u")
+    stay = members.groupBy("component_id").agg(F.min_by("u", order).alias("u"), F.count("*").alias("n")).where("n > 1")
+    shared = members.join(stay.select("component_id", F.col("u").alias("stays")), "component_id")
+    return without(rows, UID, materialize(shared.where("u <> stays").select("u"))).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
