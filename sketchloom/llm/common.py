@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Row id that an operator adds; unlikely to clash with a caller's column.
@@ -116,6 +116,25 @@ def first_free(columns: list[str], name: str) -> str:
     return name
 
 
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """`df` plus, for each name, the sum of its column over the rows that come before in the order.
+
+    One range partitioning: sums of whole partitions, of which there is one row each, plus a window inside each. The
+    result is a table read back, so ranges stay fixed. Rows must differ in the order for the sums to be determined.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = df.withColumns({n: c for n, c in zip(names, order, strict=True)})
+    dealt = materialize(keyed.repartitionByRange(parts, *names).withColumn("__part", F.spark_partition_id()))
+    whole = dealt.groupBy("__part").agg(*[F.sum(c).alias(f"__s{i}") for i, c in enumerate(sums.values())])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per partition
+    whole = whole.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__s{i}").over(earlier), F.lit(0)).alias(f"__s{i}") for i in range(len(sums))])
+    inside = Window.partitionBy("__part").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumns({f"__w{i}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for i, c in enumerate(sums.values())})
+    rows = rows.join(whole, rows["__part"] == whole["__p"])
+    return rows.select(*df.columns, *[(F.col(f"__s{i}") + F.col(f"__w{i}")).alias(n) for i, n in enumerate(sums)])
+
+
 #: Bits of a sieve: 4 MB, whatever the data.
 SIEVE_BITS = 1 << 25
 

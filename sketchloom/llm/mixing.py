@@ -6,11 +6,13 @@ epoch), then the documents at the head of the key order until what remains of it
 
 The sort is one range partitioning by (source, key), written to the shared folder with its partition number; prefix
 sums are then sums per (source, partition) plus a window inside each partition, so no source, however large, meets in
-one task. Only one row per source and partition is ever gathered.
+one task, and rows that share an id, and so a key, are split too. The sources themselves, which may be many, get their
+ranks and running sums in the same way. Only a row per partition is ever gathered.
 
 Defined results: null text or size counts 0 words and such a document is taken 0 words; null source is a source of
 its own, last in order; null id draws the key of the text "null"; equal keys (repeated rows) are ordered by id, then
-size, and which of two equal rows comes first does not change the result; an empty table gives an empty result.
+size, and which of two equal rows comes first does not change the result; a very long text is counted whole; columns of
+any name beside those named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sums_before
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,22 +45,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     Sources are capped in the order of size / weight, so the fixed point is one ordered pass: a source is capped if
     the level that the sources from it on would get is at or above its own cap.
     """
-    n = len(weights)
-    everything = Window.partitionBy(F.lit(0))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    w = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % n + 1).cast("int")))
+    by_name = [F.col("source").isNull(), F.col("source").cast("binary")]
+    number = sums_before(sizes, by_name, {"number": F.lit(1)})
+    w = number.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("number") % len(weights) + 1).cast("int")))
     cap = F.col("source_size") * limit
-    up = Window.orderBy(cap / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumns({
-        "budget": F.sum("source_size").over(everything) * F.lit(share),
-        "cap_before": F.coalesce(F.sum(cap).over(before), F.lit(0)),
-        "weight_from": F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    w = w.withColumn("capped", F.col("budget") - F.col("cap_before") >= cap / F.col("weight") * F.col("weight_from"))
-    rest = F.col("budget") - F.coalesce(F.sum(F.when(F.col("capped"), cap)).over(everything), F.lit(0))
-    free = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    target = F.when(F.col("capped"), cap.cast("double")).otherwise(F.col("weight") * rest / free)
+    w = sums_before(w, [cap / F.col("weight"), *by_name], {"cap_before": cap, "weight_before": F.col("weight")})
+    all_ = w.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget = float(all_["size"] or 0) * share
+    level = cap / F.col("weight") * (F.lit(all_["weight"] or 0.0) - F.col("weight_before"))
+    w = materialize(w.withColumn("capped", F.lit(budget) - F.col("cap_before") >= level))
+    fixed = w.agg(F.sum(F.when(F.col("capped"), cap)).alias("cap"), F.sum(F.when(~F.col("capped"), F.col("weight"))).alias("free")).first()
+    rest, free = budget - float(fixed["cap"] or 0), fixed["free"] or 1.0
+    target = F.when(F.col("capped"), cap.cast("double")).otherwise(F.col("weight") * F.lit(rest) / F.lit(free))
     return w.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
@@ -82,17 +80,18 @@ def mix_sources(
     heavy = F.coalesce(weight, F.lit(1.0)).cast("double") if weight is not None else F.lit(1.0)
     heavy = F.when(heavy > 0, heavy).otherwise(1.0)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), heavy.alias("w"))
-    base = materialize(base.withColumn("key", exponential_key(F.col("doc_id"), F.col("w"), seed)).drop("w"))  # texts are read once
+    base = base.withColumn("key", exponential_key(F.col("doc_id"), F.col("w"), seed)).withColumn("row", F.monotonically_increasing_id())
+    base = materialize(base.drop("w"))  # texts are read once
     targets = materialize(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.repartitionByRange(parts, F.col("source"), F.col("key"), F.col("doc_id"), F.col("size")).withColumn("part", F.spark_partition_id())
+    dealt = base.repartitionByRange(parts, F.col("source"), F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")).withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt)  # fixes the bounds of the ranges
     sums = dealt.groupBy("source", "part").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     ahead = ahead.join(targets.select(F.col("source").alias("s2"), "source_size", "target"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
 

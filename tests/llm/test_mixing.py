@@ -67,3 +67,25 @@ def test_empty(spark):
     assert mixing.mix_sources(df, mixing.word_count(F.col("text"))).count() == 0
     none = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")
     assert {r["taken"] for r in mixing.mix_sources(none, mixing.word_count(F.col("text"))).collect()} == {0}
+
+
+def test_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"{rng.choice('aBé')}{i}": rng.choice([0, 1, 7, 100, 5000]) for i in range(300)} | {None: 40}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long").repartition(4)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    want = brute_targets(sizes)
+    assert set(got) == set(want) and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in want)
+
+
+def test_an_id_on_a_third_of_the_rows_is_split(spark, monkeypatch):
+    rows = [(7, "s", "w " * (1 + i % 3), None) for i in range(1000)] + [(100 + i, "s", "w w", None) for i in range(2000)] + [(5, "t", "long " * 200_000, None)]
+    tables = []
+    keep = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df: tables.append(keep(df)) or tables[-1])
+    got = run(spark, rows).collect()
+    dealt = next(t for t in tables if "part" in t.columns)
+    assert dealt.where("doc_id = 7").select("part").distinct().count() > 1
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in "st"}
+    target = {r["source"]: r["target"] for r in got}
+    assert abs(taken["s"] - target["s"]) <= 1.5 and taken["t"] in (0, 200_000, 400_000) and len(got) == 3001
