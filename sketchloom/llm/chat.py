@@ -1,14 +1,14 @@
 """Chat formatting: a finite-state machine over roles plus a declarative template, all in DataFrame functions.
 
 `format_chats` gives, for every conversation, the segments of its formatted text with a loss flag each;
-`read_chats` parses such segments back into turns. Control strings inside texts are escaped reversibly: between the
-bracket that opens a control string and its body one backslash is added, and `read_chats` takes one away, so no text
-can end a turn or start another.
+`read_chats` parses such segments back into turns. Control strings inside texts are escaped reversibly: after the first
+character of a control string one backslash is added, and `read_chats` takes one away, so no text can end a turn or
+start another. Which strings those are follows from the template's own marks.
 
 Defined results: null role or text count as empty; rows of a conversation are ordered by turn (null first), then
-role, then text; repeated rows stay; an empty table gives an empty result; extra columns are ignored; a null
-conversation id is a conversation of its own. Conversations that break the turn order are formatted too and carry
-`valid = false` with the position of the first wrong turn.
+role, then text; repeated rows stay; an empty table gives an empty result; extra columns are ignored, whatever their
+names; a null conversation id is a conversation of its own; a very long text is formatted whole. Conversations that
+break the turn order are formatted too and carry `valid = false` with the position of the first wrong turn.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ class ChatTemplate:
     """What a turn looks like and which turns may follow each other.
 
     A turn is `open + role + close + text + end`. `transitions` maps a state to the roles that may come next, state
-    `start` being before the first turn; a conversation may end in any state of `final`.
+    `start` being before the first turn; a conversation may end in any state of `final`. Marks must be of two characters
+    or more, without backslashes, and none may overlap another or itself, so that a text beside a mark cannot form one.
     """
 
     open: str = "[INST]"
     close: str = "[/INST]"
     end: str = "</s>"
-    #: Control strings as a regular expression: opening bracket, then body. Bodies hold neither bracket nor backslash.
-    brackets: str = r"[<\[]"
-    bodies: str = r"(?:/?s>|/?INST\])"
+    #: Strings that are no marks here but are escaped too.
+    reserved: tuple[str, ...] = ("<s>",)
     loss_roles: tuple[str, ...] = ("assistant",)
     transitions: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {
@@ -45,11 +45,29 @@ class ChatTemplate:
     )
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        marks = self.controls
+        for a in marks:
+            if len(a) < 2 or "\\" in a:
+                raise ValueError(f"{a!r} cannot be a mark: it needs two characters and no backslash")
+            for b in marks:
+                if a != b and a in b or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (a != b))):
+                    raise ValueError(f"marks {a!r} and {b!r} overlap")
+
+    @property
+    def controls(self) -> tuple[str, ...]:
+        """The strings that no text may hold unescaped."""
+        return tuple(dict.fromkeys((self.open, self.close, self.end, *self.reserved)))
+
+    def _spots(self, taken: str) -> str:
+        """Matches `taken` after the first character of a control string, if its rest follows, backslashes before it."""
+        return "|".join(rf"(?<=\Q{m[0]}\E){taken}(?=\\*\Q{m[1:]}\E)" for m in self.controls)
+
     def escape(self, c: Column) -> Column:
-        return F.regexp_replace(c, rf"({self.brackets})(\\*)({self.bodies})", r"$1\\$2$3")
+        return F.regexp_replace(c, self._spots(""), r"\\")
 
     def unescape(self, c: Column) -> Column:
-        return F.regexp_replace(c, rf"({self.brackets})\\(\\*)({self.bodies})", r"$1$2$3")
+        return F.regexp_replace(c, self._spots(r"\\"), "")
 
 
 DEFAULT_TEMPLATE = ChatTemplate()

@@ -40,8 +40,8 @@ with r as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e as (
-  select *, length('[INST]' || regexp_replace(role, '([<\[])(\\*)((?:/?s>|/?INST\]))', '\1\\\2\3', 'g') || '[/INST]'
-                   || regexp_replace(text, '([<\[])(\\*)((?:/?s>|/?INST\]))', '\1\\\2\3', 'g') || '</s>') as n,
+  select *, length('[INST]' || regexp_replace(regexp_replace(role, '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g'), '(<)(\\*)(/?s>)', '\1\\\2\3', 'g') || '[/INST]'
+                   || regexp_replace(regexp_replace(text, '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g'), '(<)(\\*)(/?s>)', '\1\\\2\3', 'g') || '</s>') as n,
          lag(role, 1, 'start') over (partition by conv_id order by turn nulls first, role, text) as state,
          row_number() over (partition by conv_id order by turn desc nulls last, role desc, text desc) as back
   from r

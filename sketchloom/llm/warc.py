@@ -10,10 +10,15 @@ writer, so any file system that Spark writes to will do.
 them by segment number, verifies numbering and total length, and decodes the chunked framing. Only segmented records
 are shuffled. Payloads are grouped by a narrow (digest, id) aggregate; page bodies move at most once.
 
+A record that cannot be read (no version line, no length, a block cut short, a gzip stream that breaks off) gives a row
+of type `broken` or of its stated type with `complete` false, and parsing goes on at the next version line; a bad file
+does not end the job. Header bytes that are not UTF-8 are replaced.
+
 Defined results: a null page body is an empty payload; a null url gives no target; a null id sorts below all others
 (all null: all are responses), and pages that tie on the largest id of their payload are all responses; a segmented
 block that lacks a segment or whose length differs from its total has `complete` false, with null payload, length and
-digest; an empty table gives an archive without records; extra columns are ignored.
+digest; repeated rows are records of their own; a very long body is cut into segments and held whole by the task that
+joins them; an empty table gives an archive without records; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,7 +89,7 @@ def records_of(page_id: str, unique: int, url: str | None, payload: bytes, diges
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         block = http + b"Content-Length: %d\r\n\r\n" % len(payload)
-        head = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:x-page:{refers_to}>"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+        head = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Payload-Digest", f"sha1:{digest}")]
         return [_record([*head, ("Content-Type", "application/http; msgtype=response")], block)]
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     head = [("WARC-Type", "response"), ("WARC-Record-ID", name), *common, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
@@ -103,13 +109,15 @@ def write_archive(
     """Write `pages` as gzipped WARC files under `path`."""
     base = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("sha", F.sha1("payload"))
-    groups = base.where(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.max("id").alias("origin"), F.count("*").alias("n")).where("n > 1 and origin is not null")
-    # written out: a small table is broadcast, and beside a large one the rows of a common payload can be split
-    groups = materialize(groups.select("sha", "origin"))
     base = base.withColumn("unique", F.monotonically_increasing_id())
+    # the row that revisits name: that with the largest id, of equal ones the last
+    last = F.max(F.struct(F.col("id").alias("origin"), F.col("unique").alias("number"))).alias("last")
+    groups = base.where(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(last, F.count("*").alias("n")).where("n > 1 and last.origin is not null")
+    # written out: a small table is broadcast, and beside a large one the rows of a common payload can be split
+    groups = materialize(groups.select("sha", "last.origin", "last.number"))
     base = base.join(groups, "sha", "left")
     revisit = F.coalesce(F.col("id") < F.col("origin"), F.col("origin").isNotNull() & F.col("id").isNull())
-    base = base.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "unique", "url", "payload", "sha", F.when(revisit, F.col("origin").cast("string")).alias("origin"))
+    base = base.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "unique", "url", "payload", "sha", F.when(revisit, F.concat(F.lit("urn:x-page:"), F.col("origin").cast("string"), F.lit(":"), F.col("number").cast("string"))).alias("origin"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,20 +137,35 @@ def write_archive(
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a file, gzipped (one member or many) or plain."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (names in lower case) and block of each record of a file, gzipped (one member or many) or plain.
+
+    The block is None if the record is broken.
+    """
     # decompressed as it is read, so that only one record is held beside the file
     f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := f.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record starts with {line[:60]!r}")
-        head: dict[str, str] = {}
-        while (line := f.readline().rstrip(b"\r\n")):
-            k, _, v = line.decode().partition(":")
-            head[k.strip().lower()] = v.strip()
-        yield head, f.read(int(head["content-length"]))
+    line, lost, head = b"\r\n", False, None
+    try:
+        while line:
+            if not line.startswith(b"WARC/"):
+                if line.strip() and not lost:  # once for each stretch of bytes that belong to no record
+                    lost = True
+                    yield {"warc-type": "broken"}, None
+                line = f.readline()
+                continue
+            lost, head = False, {}
+            while (line := f.readline()).strip():
+                k, _, v = line.decode(errors="replace").partition(":")
+                head[k.strip().lower()] = v.strip()
+            size = head.get("content-length", "")
+            block = f.read(int(size)) if size.isascii() and size.isdigit() else None
+            whole = block is not None and len(block) == int(size)
+            lost = not whole  # what follows up to the next version line is part of this record
+            this, head = head, None
+            yield this, block if whole else None
+            line = f.readline()
+    except (EOFError, OSError, zlib.error):  # the stream breaks off
+        yield head or {"warc-type": "broken"}, None
 
 
 def _payload(block: bytes) -> tuple[bytes | None, int | None]:
@@ -151,8 +174,8 @@ def _payload(block: bytes) -> tuple[bytes | None, int | None]:
     fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
     if b"chunked" in fields.get(b"transfer-encoding", b""):
         body = dechunk(body)
-    stated = fields.get(b"content-length")
-    return body, int(stated) if stated is not None else None
+    stated = fields.get(b"content-length", b"")
+    return body, int(stated) if stated.isdigit() else None
 
 
 _ROW = "record_id string, record_type string, target_uri string, refers_to string, segment int, total long, origin string, digest string, n long, complete boolean, body binary"
@@ -172,25 +195,31 @@ def _table(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in (x.split()[0] for x in _ROW.split(", "))})
 
 
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.isascii() and x.isdigit() and len(x) < 10 else None
+
+
 def _parse(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column("content"):
             rows, held = [], 0
             for head, block in parse_records(data.as_py()):
-                number = head.get("warc-segment-number")
+                number, total = (_number(head.get(k)) for k in ("warc-segment-number", "warc-segment-total-length"))
+                own = head.get("warc-record-id", "").strip("<>") or None
                 r = {
-                    "record_id": head["warc-record-id"].strip("<>"),
-                    "record_type": head["warc-type"],
+                    "record_id": own,
+                    "record_type": head.get("warc-type", "broken"),
                     "target_uri": head.get("warc-target-uri"),
                     "refers_to": head.get("warc-refers-to", "").strip("<>") or None,
-                    "segment": int(number) if number else None,
-                    "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None,
-                    "origin": head.get("warc-segment-origin-id", head["warc-record-id"]).strip("<>"),
+                    "segment": number if block is not None else None,  # a broken segment leaves its block incomplete
+                    "total": total,
+                    "origin": head.get("warc-segment-origin-id", "").strip("<>") or own,
                     "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                     "n": None,
                     "complete": None,
                     "body": block,
                 }
+                number = r["segment"]
                 rows.append(r if number else _finish(r, block, with_payload))
                 held += len(rows[-1]["body"] or b"") + 500
                 if held > 2_000_000:

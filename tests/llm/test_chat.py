@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from sketchloom.llm import chat
 
 
@@ -54,3 +56,21 @@ def test_plan_has_no_python_and_empty_tables_pass(spark):
     out = chat.chat_digest(chat.read_chats(chat.format_chats(df)))
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+
+
+def test_other_templates_escape_their_own_marks(spark):
+    rng = random.Random(4)
+    bits = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "\n", "\\", "<", "<\\|im_end|>", "|im_end|>", "</s>", "there"]
+    rows = [(c, t, rng.choice(["user", "a\n\nb"]), "".join(rng.choice(bits) for _ in range(9))) for c in range(40) for t in range(3)]
+    rows += [(99, 0, "user", "hi <|im_end|> there"), (99, 1, "assistant", "<|im_end|>")]
+    template = chat.ChatTemplate(open="<|im_start|>", close="<|sep|>", end="<|im_end|>", reserved=("<|endoftext|>",))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_chats(chat.format_chats(df, template), template).collect():
+        assert [(x["role"], x["text"]) for x in r["turns"]] == [(o, x) for c, _, o, x in rows if c == r["conv_id"]]
+        assert r["formatted"].count("<|im_end|>") == r["n_turns"] and "<|endoftext|>" not in r["formatted"]
+
+
+@pytest.mark.parametrize("marks", [{"end": "x"}, {"end": "aba"}, {"open": "<a", "close": "a>"}, {"end": "</s>[INST]"}, {"close": "a\\b"}])
+def test_marks_that_texts_could_form_are_refused(marks):
+    with pytest.raises(ValueError):
+        chat.ChatTemplate(**marks)

@@ -31,6 +31,8 @@ def test_round_trip(spark, tmp_path):
     got = sorted(((r["page"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["origin"]) for r in back), key=repr)
     assert got == brute(pages)
     assert all(r["complete"] for r in back)
+    names = {r["record_id"] for r in back if r["record_type"] == "response"}
+    assert len({r["record_id"] for r in back}) == len(back) and all(r["refers_to"] in names for r in back if r["refers_to"])
     bodies = {r["page"]: bytes(r["payload"]) for r in back if r["record_type"] == "response"}
     assert bodies[302] == b"big" * 200_000 and bodies[301] == b"" and bodies[7] == b"other text"
 
@@ -54,3 +56,22 @@ def test_empty_and_framing(spark, tmp_path):
         assert warc.dechunk(warc.chunked(b"q" * n)) == b"q" * n
     assert warc.dechunk(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
     assert warc.dechunk(b"5\r\nabc\r\n0\r\n\r\n") is None and warc.dechunk(b"zz") is None
+
+
+def test_broken_records_do_not_end_the_job(spark, tmp_path):
+    good = [warc.records_of(str(i), 0, f"http://x/{i}", b"body %d" % i, "D", None, "2024-01-01T00:00:00Z", 1000)[0] + b"\r\n\r\n" for i in range(6)]
+    os.makedirs(tmp_path / "w")
+    noise = b"not a record\r\nat all\r\n"
+    no_length = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:70:0>\r\n\r\nlost block\r\n\r\n"
+    bad_bytes = good[2].replace(b"http://x/2", b"http://x/\xff\xfe")
+    (tmp_path / "w" / "a.warc").write_bytes(good[0] + noise + good[1] + no_length + bad_bytes)
+    whole = gzip.compress(good[3] + good[4] * 50)
+    (tmp_path / "w" / "b.warc.gz").write_bytes(whole[: len(whole) - 12])  # the stream breaks off
+    (tmp_path / "w" / "c.warc").write_bytes(good[5][:-20])  # the block is cut short
+    (tmp_path / "w" / "d.warc").write_bytes(b"")
+    (tmp_path / "w" / "e.warc").write_bytes(b"\x1f\x8bnonsense")
+    rows = [(r["record_id"], r["record_type"], r["complete"]) for r in warc.read_archive(spark, f"file://{tmp_path}/w").collect()]
+    ok = {i for i, _, c in rows if c}
+    assert {f"urn:x-page:{i}:0" for i in (0, 1, 2, 3)} <= ok and "urn:x-page:5:0" not in ok and "urn:x-page:70:0" not in ok
+    broken = [(i, k) for i, k, c in rows if not c]
+    assert ("urn:x-page:70:0", "response") in broken and ("urn:x-page:5:0", "response") in broken and (None, "broken") in broken
