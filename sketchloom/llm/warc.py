@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_path, materialize, work_dir, write_out
 
 CRLF = b"\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,7 +109,9 @@ def write_archive(
     """Write `pages` as gzipped WARC files under `path`."""
     base = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("sha", F.sha1("payload"))
-    base = base.withColumn("unique", F.monotonically_increasing_id())
+    # written out, since a revisit names its origin by the number of the origin's row
+    kept = work_dir(pages.sparkSession)
+    base = write_out(base.withColumn("unique", F.monotonically_increasing_id()), kept)
     # the row that revisits name: that with the largest id, of equal ones the last
     last = F.max(F.struct(F.col("id").alias("origin"), F.col("unique").alias("number"))).alias("last")
     groups = base.where(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(last, F.count("*").alias("n")).where("n > 1 and last.origin is not null")
@@ -135,6 +137,7 @@ def write_archive(
     # each value is a whole record; the writer's line separator is the pair of line ends that closes it
     records = base.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    drop_path(pages.sparkSession, kept)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
