@@ -37,7 +37,7 @@ BITS, RADIUS = 512, 150
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """The distinct shingle hashes in ascending order."""
-    return np.unique(np.array(shingle_hashes(text, k), np.uint64))
+    return np.unique(shingle_hashes(text, k))
 
 
 def node_of(own: np.ndarray) -> int:

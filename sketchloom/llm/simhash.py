@@ -13,7 +13,8 @@
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts with fewer words than the
 shingle length are one shingle; repeated rows share a node; null ids take part, and a component's id is its smallest
-non-null id (null if there is none); an empty table gives an empty result; extra columns are left out.
+non-null id (null if there is none); a very long text is read whole, in pieces of words; an empty table gives an empty
+result; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,19 +45,35 @@ def _mix(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingle_hashes(text: bytes, k: int, seed: int = 42) -> list[int]:
+#: Bytes of a text that are split into words at once.
+_PIECE = 4_000_000
+
+
+def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
     """XXH64 of each k-word shingle of the lower-cased text; fewer words make one shingle, none make none."""
+    out, tail, a, total = [np.zeros(0, np.uint64)], [], 0, 0
+    while a < len(text):
+        b = a + _PIECE
+        while b < len(text) and text[b : b + 1] not in b" \t\n\r\x0b\x0c":  # words stay whole
+            b += 1
+        new = text[a:b].lower().split()
+        total, words, a = total + len(new), tail + new, b
+        if len(words) >= k:
+            out.append(_hashes(words, k, seed))
+        tail = words[-(k - 1) :] if k > 1 else []
+    if 0 < total < k:
+        out.append(_hashes(tail, total, seed))
+    return np.concatenate(out)
+
+
+def _hashes(words: list[bytes], k: int, seed: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return []
     line = b" ".join(words)
-    if len(words) <= k:
-        return [xxh64_intdigest(line, seed)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
-    return [xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)]
+    n = len(words) - k + 1
+    return np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)), np.uint64, n)
 
 
 def majority_bits(h: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
@@ -85,7 +102,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, lanes: int) -> Iter
             data = raw.tobytes()
             each = [shingle_hashes(data[a:b], k) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             counts = np.fromiter(map(len, each), np.int64, len(each))
-            h = np.fromiter((x for e in each for x in e), np.uint64, int(counts.sum()))
+            h = np.concatenate([np.zeros(0, np.uint64), *each])
             fp = majority_bits(h, counts, lanes)
             yield pa.RecordBatch.from_pydict({"id": part.column("id"), "fp": pa.array([r.tobytes() for r in fp], pa.binary())})
 

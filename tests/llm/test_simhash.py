@@ -97,3 +97,14 @@ def test_components_of_long_paths_and_hubs(spark):
     got = {r["a"]: r["b"] for r in graph.connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{200 + i: 100 for i in range(30)}}
     assert graph.connected_components(df.where(F.lit(False))).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    texts = [" \t".join("Abc"[: rng.randint(1, 3)] * rng.randint(1, 9) for _ in range(n)).encode() for n in (0, 1, 2, 3, 4, 50)] + [b"  x " * 9, b"y" * 40]
+    for k in (1, 3, 5):
+        whole = [simhash.shingle_hashes(t, k).tolist() for t in texts]
+        for size in (1, 3, 10):
+            monkeypatch.setattr(simhash, "_PIECE", size)
+            assert [simhash.shingle_hashes(t, k).tolist() for t in texts] == whole
+            monkeypatch.undo()
