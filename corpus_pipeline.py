@@ -38,8 +38,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = materialize(jaccard.similar_groups(rows, doc_id=UID))
     # the representative of a group is the row with its smallest doc_id; the others go
     members = groups.select(F.col("id").alias("u"), "component_id").join(rows.select(F.col(UID).alias("u"), "doc_id"), "u")
+    members = materialize(members)  # tables on both sides of the join below, so that the rows of a large group can be split
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "u")
-    stay = members.groupBy("component_id").agg(F.min_by("u", order).alias("u"), F.count("*").alias("n")).where("n > 1")
+    stay = members.groupBy("component_id").agg(F.min_by("u", order).alias("u"), F.count("*").alias("n"))
+    stay = materialize(stay.where("n > 1"))
     shared = members.join(stay.select("component_id", F.col("u").alias("stays")), "component_id")
     return without(rows, UID, materialize(shared.where("u <> stays").select("u"))).select(*docs.columns)
 
