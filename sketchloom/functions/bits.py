@@ -1,7 +1,7 @@
 """Bit-code functions: a code is an `array<bigint>` of words, least significant bit first.
 
-`word_bits` is 8, 16, 32 or 64 (or 1: a bit per element). Words below 64 bits are kept non-negative; 64-bit words are
-two's complement. Every function returns a Column built from Spark's own expressions. Positions may be ints or Columns.
+`word_bits` is 8, 16, 32, 64 or 128 (or 1: a bit per element). Words below 64 bits are kept non-negative; 64-bit words
+are two's complement; a word of 128 bits is two elements, the low half first, so only capacities differ from 64. Every function returns a Column built from Spark's own expressions. Positions may be ints or Columns.
 """
 
 from __future__ import annotations
@@ -22,7 +22,18 @@ def _int(x: Bit) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("int")
 
 
+def stored_bits(word_bits: int) -> int:
+    """Bits of an array element: a 128-bit word is two elements."""
+    return min(word_bits, 64)
+
+
+def n_elements(n_bits: int, word_bits: int) -> int:
+    """Array elements of a code of at least n_bits, in whole words."""
+    return -(-n_bits // word_bits) * (word_bits // stored_bits(word_bits))
+
+
 def _mask(word_bits: int) -> int:
+    word_bits = stored_bits(word_bits)
     return -1 if word_bits == 64 else (1 << word_bits) - 1
 
 
@@ -36,11 +47,11 @@ def _shr(value: Column, by: Column) -> Column:
 
 def size_bits(code: Column, word_bits: int = 64) -> Column:
     """Capacity of a code, padding included."""
-    return (F.size(code) * word_bits).cast("long")
+    return (F.size(code) * stored_bits(word_bits)).cast("long")
 
 
 def get_bit_unchecked(code: Column, i: Bit, word_bits: int = 64) -> Column:
-    i = _int(i)
+    i, word_bits = _int(i), stored_bits(word_bits)
     word = F.get(code, F.floor(i / word_bits).cast("int"))
     return _shr(word, i % word_bits).bitwiseAND(F.lit(1).cast("long")) == 1
 
@@ -53,7 +64,7 @@ def get_bit(code: Column, i: Bit, word_bits: int = 64) -> Column:
 
 def set_bit(code: Column, i: Bit, value: Column | bool, word_bits: int = 64) -> Column:
     """Unchanged if i is outside the code."""
-    i, v = _int(i), value if isinstance(value, Column) else F.lit(value)
+    i, v, word_bits = _int(i), value if isinstance(value, Column) else F.lit(value), stored_bits(word_bits)
     bit = _shl(F.lit(1).cast("long"), i % word_bits)
     at = F.floor(i / word_bits).cast("int")
     return F.transform(code, lambda w, p: F.when((p == at) & (i >= 0), F.when(v, w.bitwiseOR(bit)).otherwise(w.bitwiseAND(F.bitwise_not(bit)))).otherwise(w))
@@ -68,7 +79,7 @@ def set_false(code: Column, i: Bit, word_bits: int = 64) -> Column:
 
 
 def flip_bit(code: Column, i: Bit, word_bits: int = 64) -> Column:
-    i = _int(i)
+    i, word_bits = _int(i), stored_bits(word_bits)
     bit = _shl(F.lit(1).cast("long"), i % word_bits)
     at = F.floor(i / word_bits).cast("int")
     return F.transform(code, lambda w, p: F.when((p == at) & (i >= 0), w.bitwiseXOR(bit)).otherwise(w))
@@ -84,7 +95,7 @@ def count_bits(code: Column) -> Column:
 
 def count_bits_range_unchecked(code: Column, lo: Bit, hi: Bit, word_bits: int = 64) -> Column:
     """Ones in [lo, hi): each word is shifted down to its overlap with the range and up past what follows it."""
-    lo, hi = _int(lo), _int(hi)
+    lo, hi, word_bits = _int(lo), _int(hi), stored_bits(word_bits)
 
     def in_word(w: Column, p: Column) -> Column:
         a = F.greatest(F.lit(0), lo - p * word_bits)
@@ -102,12 +113,12 @@ def count_bits_range(code: Column, lo: Bit, hi: Bit, word_bits: int = 64) -> Col
 
 def zeros(n_bits: int, word_bits: int = 64) -> Column:
     """A code of at least n_bits zeros, in whole words."""
-    return F.array_repeat(F.lit(0).cast("long"), -(-n_bits // word_bits))
+    return F.array_repeat(F.lit(0).cast("long"), n_elements(n_bits, word_bits))
 
 
 def ones(n_bits: int, word_bits: int = 64) -> Column:
     """Whole words of ones; padding bits are set too."""
-    return F.array_repeat(F.lit(_mask(word_bits)).cast("long"), -(-n_bits // word_bits))
+    return F.array_repeat(F.lit(_mask(word_bits)).cast("long"), n_elements(n_bits, word_bits))
 
 
 def _zip(a: Column, b: Column, f) -> Column:
@@ -134,13 +145,14 @@ def bit_dot(a: Column, b: Column) -> Column:
 
 def to_bools(code: Column, word_bits: int = 64) -> Column:
     """Every bit of a code, padding included."""
-    one = F.lit(1).cast("long")
+    one, word_bits = F.lit(1).cast("long"), stored_bits(word_bits)
     return F.flatten(F.transform(code, lambda w: F.transform(F.sequence(F.lit(0), F.lit(word_bits - 1)), lambda i: _shr(w, i).bitwiseAND(one) == 1)))
 
 
 def pack(bools: Column, word_bits: int = 64) -> Column:
     """Booleans (null counts as false) to words; the last word is padded with zeros."""
-    n = F.ceil(F.size(bools) / word_bits).cast("int")
+    n = F.ceil(F.size(bools) / word_bits).cast("int") * (word_bits // stored_bits(word_bits))
+    word_bits = stored_bits(word_bits)
     word = lambda p: F.aggregate(
         F.transform(F.slice(bools, p * word_bits + 1, F.lit(word_bits)), lambda b, i: F.when(b, _shl(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
         F.lit(0).cast("long"),

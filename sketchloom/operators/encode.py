@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
+from ..functions.bits import n_elements, stored_bits
 from .topk import as_matrix
 
-WORD_BITS = (8, 16, 32, 64)
+WORD_BITS = (8, 16, 32, 64, 128)
 
 
 def _check(n_bits: int, word_bits: int) -> None:
@@ -25,7 +26,7 @@ def _check(n_bits: int, word_bits: int) -> None:
 
 def pack_bits(b: np.ndarray, word_bits: int = 64) -> np.ndarray:
     """Rows of 0/1 -> rows of words as int64, least significant bit first."""
-    words = -(-b.shape[1] // word_bits)
+    words, word_bits = n_elements(b.shape[1], word_bits), stored_bits(word_bits)
     padded = np.zeros((len(b), words * word_bits), np.uint8)
     padded[:, : b.shape[1]] = b
     raw = np.packbits(padded, axis=1, bitorder="little")
@@ -36,7 +37,7 @@ def encode_expr(embedding: Column, centers: np.ndarray, word_bits: int = 64) ->
     """A code as one expression, the centers being literals: for few bits."""
     centers = np.asarray(centers, float)
     _check(len(centers), word_bits)
-    words = []
+    words, word_bits, rounded = [], stored_bits(word_bits), n_elements(len(centers), word_bits)
     for a in range(0, len(centers), word_bits):
         at = [F.array(*[F.lit(float(x)) for x in c]) for c in centers[a : a + word_bits]]
         # at least 0 and not NaN, which sorts above every number
@@ -45,11 +46,16 @@ def encode_expr(embedding: Column, centers: np.ndarray, word_bits: int = 64) ->
         for i, c in enumerate(at):
             word = word.bitwiseOR(F.when(on(c), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
         words.append(word)
-    return F.array(*words)
+    return F.array(*words, *[F.lit(0).cast("long")] * (rounded - len(words)))
 
 
 def encode_join(data: DataFrame, centers: DataFrame, word_bits: int = 64, data_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, code as a plan: every vector meets every center (bit_idx, center), and bits are gathered by word."""
+    """vec_id, code as a plan: every vector meets every center (bit_idx, center), and bits are gathered by word.
+
+    Words of 128 bits are left to `encode`.
+    """
+    if stored_bits(word_bits) != word_bits:
+        raise ValueError("this form takes words of at most 64 bits")
     x = data.select(F.col(data_id).alias("vec_id"), F.col(embedding).alias("__a")).where("vec_id is not null and __a is not null")
     dot = vectors.dot(F.col("__a"), F.col("center"))
     bit = F.when((dot >= 0) & ~F.isnan(dot), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit_idx") % word_bits).cast("int"))).otherwise(F.lit(0).cast("long"))

@@ -7,15 +7,22 @@ over layers of how far the query's popcount lies outside the leaf's bucket.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from .topk import rank_pairs
+from ..functions.bits import stored_bits
+from .topk import as_matrix, keep_best, rank_pairs
+
+#: So many queries at most are brought to the leaves at once.
+QUERY_BLOCK = 2048
 
 
 def n_nodes(total_bits: int, layer_bits: int, fanout: int) -> int:
@@ -62,6 +69,10 @@ def is_leaf(node: int, height: int, fanout: int) -> bool:
     return depth_of(node, fanout) == height
 
 
+def _found(q_ids: np.ndarray, ids: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids, pa.int64()), "neighbor_id": pa.array(ids, pa.int64()), "dist": pa.array(d.astype(np.int32))})
+
+
 @dataclass
 class CodeIndex:
     """Codes with their leaves. `table`: vec_id, code, path, leaf_id."""
@@ -145,19 +156,89 @@ class CodeIndex:
         rows = pairs.select("query_id", "leaf_id").join(q, "query_id").join(self.table.select("leaf_id", F.col("vec_id").alias("neighbor_id"), "code"), "leaf_id")
         return rows.select("query_id", "neighbor_id", bits.hamming(F.col("code"), F.col("q")).alias("dist"))
 
-    def knn(self, queries: DataFrame, k: int, query_id: str = "vec_id", query_col: str = "code") -> DataFrame:
-        """The k nearest codes: leaves with the least bounds until k rows give a distance, then all leaves within it."""
+    def _reached(self, queries: DataFrame, k: int, query_id: str, query_col: str) -> DataFrame:
+        """query_id, leaf_id, n: the leaves that may hold one of the k nearest codes."""
         bounded = self._bounded(queries, query_id, query_col)
         ahead = Window.partitionBy("query_id").orderBy("lb", "leaf_id").rowsBetween(Window.unboundedPreceding, -1)
         probe = bounded.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("ahead") < k)
         first = rank_pairs(self._verify(probe, queries, query_id, query_col), k, "dist", False)
         upper = first.groupBy("query_id").agg(F.max("dist").alias("ub"), F.count("*").alias("found"))
-        left = bounded.join(upper, "query_id").where((F.col("lb") <= F.col("ub")) | (F.col("found") < k))
+        return bounded.join(upper, "query_id").where((F.col("lb") <= F.col("ub")) | (F.col("found") < k))
+
+    def _leaf_scan(self, asked: list, k: int | None, max_dist: int | None) -> DataFrame:
+        """query_id, neighbor_id, dist for a bounded number of queries: one scan, without a shuffle before the results.
+
+        Rows are taken leaf by leaf. A leaf whose lower bound is above a query's k-th best distance in the task so far,
+        or above `max_dist`, is passed over. asked: rows of query_id and q.
+        """
+        h, fanout, layer, total, bound = self.height, self.fanout, self.layer_bits, self.total_bits, self.bounds
+        q_ids = np.array([r["query_id"] for r in asked], np.int64)
+        q = np.array([r["q"] for r in asked], np.int64)
+        width = stored_bits(self.word_bits)
+        bit = np.unpackbits(np.ascontiguousarray(q.astype(f"<u{width // 8}", casting="unsafe")).view(np.uint8), axis=1, bitorder="little")[:, :total]
+        counts = np.add.reduceat(bit.astype(np.int64), np.arange(0, total, layer), axis=1)
+        lows, highs = np.array([0, *bound[:-1]]), np.array([*bound[:-1], layer + 1])
+        shared = self.table.sparkSession.sparkContext.broadcast((q_ids, q, counts))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q, counts = shared.value
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            reach = np.full(len(q), np.iinfo(np.int64).max if max_dist is None else max_dist)
+            for batch in batches:
+                ids, codes = np.asarray(batch.column("vec_id")), as_matrix(batch.column("code"), np.int64)
+                leaves, at = np.unique(np.asarray(batch.column("leaf_id")), return_inverse=True)
+                path = leaves[:, None] // fanout ** np.arange(h - 1, -1, -1) % fanout
+                least = sum(np.maximum(np.maximum(lows[path[:, d]][None, :] - counts[:, d : d + 1], counts[:, d : d + 1] - highs[path[:, d]][None, :] + 1), 0) for d in range(h))
+                for a in range(0, len(ids), 1024):
+                    qi, row = np.nonzero((least <= reach[:, None])[:, at[a : a + 1024]])
+                    row = row + a
+                    d = np.bitwise_count((q[qi] ^ codes[row]).view(np.uint64)).sum(axis=1).astype(np.int64)  # of a signed word it counts the magnitude
+                    near = d <= reach[qi]
+                    qi, i, d = (np.concatenate(z) for z in zip(best, (qi[near], ids[row[near]], d[near]), strict=True))
+                    if k is None:
+                        yield _found(q_ids[qi], i, d)
+                        continue
+                    best = keep_best(qi, i, d, k, False)
+                    full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) >= k)
+                    reach[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+            yield _found(q_ids[best[0]], best[1], best[2])
+
+        table = self.table.select("vec_id", "code", "leaf_id")
+        return table.mapInArrow(run, "query_id long, neighbor_id long, dist int")
+
+    def _asked(self, queries: DataFrame, query_id: str, query_col: str) -> list | None:
+        """The queries, or None if there are more than `QUERY_BLOCK`."""
+        asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_col).alias("q")).where("query_id is not null and q is not null")
+        got = asked.limit(QUERY_BLOCK + 1).collect()
+        return got if len(got) <= QUERY_BLOCK else None
+
+    def knn(self, queries: DataFrame, k: int, query_id: str = "vec_id", query_col: str = "code") -> DataFrame:
+        """The k nearest codes.
+
+        Up to `QUERY_BLOCK` queries are brought to the leaves. For more, leaves with the least bounds are joined until k
+        rows give a distance, then all leaves within it.
+        """
+        asked = self._asked(queries, query_id, query_col)
+        if asked:
+            return rank_pairs(self._leaf_scan(asked, k, None), k, "dist", False)
+        left = self._reached(queries, k, query_id, query_col)
         return rank_pairs(self._verify(left, queries, query_id, query_col), k, "dist", False)
 
+    def knn_cost(self, queries: DataFrame, k: int, query_id: str = "vec_id", query_col: str = "code") -> DataFrame:
+        """query_id, leaves, distances: how many leaves `knn` visits and how many distances it computes there.
+
+        The first distances, which bound the search, are those of the nearest leaves; they count once more.
+        """
+        reached = self._reached(queries, k, query_id, query_col)
+        return reached.groupBy("query_id").agg(F.count("*").alias("leaves"), F.sum("n").alias("distances"))
+
     def within(self, queries: DataFrame, max_dist: int, query_id: str = "vec_id", query_col: str = "code") -> DataFrame:
         """All codes at Hamming distance max_dist or less, ranked."""
-        left = self._bounded(queries, query_id, query_col).where(F.col("lb") <= max_dist)
-        found = self._verify(left, queries, query_id, query_col).where(F.col("dist") <= max_dist)
+        asked = self._asked(queries, query_id, query_col)
+        if asked:
+            found = self._leaf_scan(asked, None, max_dist)
+        else:
+            left = self._bounded(queries, query_id, query_col).where(F.col("lb") <= max_dist)
+            found = self._verify(left, queries, query_id, query_col).where(F.col("dist") <= max_dist)
         order = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
         return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "neighbor_id", "dist")

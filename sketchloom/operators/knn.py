@@ -28,6 +28,7 @@ def _pair_dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _hammings(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Over the words that both codes have."""
     n = min(q.shape[1], x.shape[1])
+    q, x = np.ascontiguousarray(q).view(np.uint64), np.ascontiguousarray(x).view(np.uint64)  # of a signed word numpy counts the magnitude
     out = np.zeros((len(q), len(x)), np.int32)
     for w in range(n):
         out += np.bitwise_count(q[:, None, w] ^ x[None, :, w])

@@ -1,7 +1,8 @@
 """One object for the search library: every operation by one name, over tables or matrices.
 
-Methods take DataFrames (vec_id, embedding | code), numpy matrices (rows numbered from 0), or paths of HDF5 files with
-a data set's name as `(path, dataset)`, and return DataFrames in long form (query_id, rank, neighbor_id, score).
+Methods take DataFrames (vec_id, embedding | code), numpy matrices (rows numbered from 0; a single row is a matrix of
+one), or paths of matrix files with a data set's name as `(path, dataset)`, and return DataFrames in long form
+(query_id, rank, neighbor_id, score).
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ class SketchSearch:
             return x
         if isinstance(x, tuple):
             return hdf5.read_hdf5(self.spark, *x)
-        return source.from_numpy(self.spark, np.asarray(x))
+        return source.from_numpy(self.spark, np.atleast_2d(np.asarray(x)))
 
     def codes(self, x: Vectors) -> DataFrame:
         if isinstance(x, DataFrame):
             return x
-        x = np.asarray(x)
-        return source.from_numpy(self.spark, np.ascontiguousarray(x).view(np.uint64) if x.dtype == np.int64 else x, name="code")
+        if isinstance(x, tuple):
+            return hdf5.read_hdf5(self.spark, *x, kind="code")
+        return source.from_numpy(self.spark, np.ascontiguousarray(np.atleast_2d(np.asarray(x))), name="code")
 
     def pairs(self, x: DataFrame | np.ndarray) -> DataFrame:
         """Neighbour ids, a row per query, as (query_id, neighbor_id)."""
@@ -52,6 +54,11 @@ class SketchSearch:
     def encode(self, data: Vectors, centers: np.ndarray, word_bits: int = 64) -> DataFrame:
         return encode.encode(self.vectors(data), centers, word_bits)
 
+    def encode_file(self, data: Vectors, centers: np.ndarray, out: tuple[str, str], word_bits: int = 64) -> None:
+        """Codes of a matrix as a data set of a matrix file."""
+        codes = self.encode(data, centers, word_bits)
+        hdf5.store_hdf5(codes, *out, embedding="code", dtype=f"u{min(word_bits, 64) // 8}")
+
     def k_largest_dot(self, data: Vectors, queries: Vectors, k: int) -> DataFrame:
         return knn.k_largest_dot(self.vectors(data), self.vectors(queries), k)
 
@@ -88,7 +95,17 @@ class SketchSearch:
     def index(self, codes: Vectors, layer_bits: int, fanout: int, total_bits: int, word_bits: int = 64) -> index.CodeIndex:
         return index.CodeIndex.build(self.codes(codes), layer_bits, fanout, total_bits, word_bits)
 
+    def index_knn(self, built: index.CodeIndex, query_codes: Vectors, k: int) -> DataFrame:
+        return built.knn(self.codes(query_codes), k)
+
+    def index_range(self, built: index.CodeIndex, query_codes: Vectors, max_dist: int) -> DataFrame:
+        return built.within(self.codes(query_codes), max_dist)
+
     @property
     def parallelism(self) -> int:
         """How many tasks run at once; set by the session's master or executor cores."""
         return self.spark.sparkContext.defaultParallelism
+
+    def set_partitions(self, n: int) -> None:
+        """How many tasks a shuffle is dealt to from now on (0: as many as run at once)."""
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(n if n > 0 else self.parallelism))

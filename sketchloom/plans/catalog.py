@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, vectors
 from ..operators import encode, index, knn, recall, sampling
+from ..sources import hdf5
 from ..sources import vectors as source
+from ..sources.scratch import scratch_dir
+from ..streaming import encode as streaming
 from . import train
+from .api import SketchSearch
 
 W = 32
 LAYER, FANOUT = 16, 4
@@ -202,6 +206,17 @@ def index_range(spark, sf_dir):
     return _index(d).within(_pair(d)[1], 24)
 
 
+def index_cost(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    return _index(d).knn_cost(_pair(d)[1], 20)
+
+
+def index_tree(spark, sf_dir):
+    """Every node of a complete tree of height 3: its parent (-1: none), place below it, depth, and whether it is a leaf."""
+    row = lambda x: (x, index.parent_of(x, FANOUT) if not index.is_root(x) else -1, index.child_index_of(x, FANOUT) if x else -1, index.depth_of(x, FANOUT), index.is_leaf(x, 3, FANOUT), index.child_of(x, 2, FANOUT))
+    return spark.createDataFrame([row(x) for x in range(index.n_nodes(48, LAYER, FANOUT))], "node int, parent int, place int, depth int, leaf boolean, third int")
+
+
 def overlap_stats(spark, sf_dir):
     d = _data(spark, sf_dir)
     return train.overlap_stats(_codes(d), 64, d.count(), W).withColumn("sim", F.round("sim", 9))
@@ -216,53 +231,61 @@ def _given(d, n_bits=16, **options):
     return train.DistributedTrainer(d, n_bits, centers=encode.center_matrix(encode.centers_of(d, n_bits)), **options)
 
 
-def train_step(spark, sf_dir):
-    """One step in parallel mode, every center relative to the one it is most similar to."""
-    t = _given(_data(spark, sf_dir), scale=0.1, displace_parallel=False)
-    t.step()
-    rows = [(i, k, float(x)) for i, c in enumerate(t.centers) for k, x in enumerate(c)]
+def _center_rows(spark, centers):
+    rows = [(i, k, float(x)) for i, c in enumerate(centers) for k, x in enumerate(c)]
     return spark.createDataFrame(rows, "bit_idx int, dim int, value double").withColumn("value", F.round("value", 6))
 
 
-def greedy_pair(spark, sf_dir):
-    """The data row nearest to row 0 by its code, other than itself: the choice that greedy initialisation makes."""
-    c = _codes(_data(spark, sf_dir))
-    near = knn.k_smallest_hamming(c, c.where("vec_id = 0"), 2)
-    return near.where("neighbor_id <> 0").agg(F.min(F.struct("dist", "neighbor_id")).alias("m")).select("m.neighbor_id", "m.dist")
+def train_step(spark, sf_dir):
+    """One step in parallel mode, every center relative to the one it is most similar to."""
+    return _center_rows(spark, _given(_data(spark, sf_dir), scale=0.1, update_parallel=True).run(1).centers)
 
 
-def _summary(spark, name, before, after):
-    off = lambda t: float(t.sim_mat.sum() / (t.n_bits * (t.n_bits - 1)))
-    return spark.createDataFrame([(name, off(before), off(after))], "trainer string, mean_before double, mean_after double")
+def train_step_all(spark, sf_dir):
+    """One step in which every center moves relative to all others."""
+    return _center_rows(spark, _given(_data(spark, sf_dir), scale=0.1, update_parallel=True, displace_parallel=True).run(1).centers)
 
 
 def train_run(spark, sf_dir):
-    d = _data(spark, sf_dir)
-    return _summary(spark, "distributed", _given(d, scale=0.02), _given(d, scale=0.02).run(10))
+    """Three steps of the default mode: one center of the most similar pair moves."""
+    return _center_rows(spark, _given(_data(spark, sf_dir), scale=0.1).run(3).centers)
 
 
 def stochastic_run(spark, sf_dir):
+    """Two steps, each over a sample of its own."""
     d = _data(spark, sf_dir)
-    make = lambda: train.StochasticTrainer(d, 300, 64, 32, noise_std=0.001, scale=0.1, seed=1)
-    return _summary(spark, "stochastic", make(), make().run(300))
+    centers = encode.center_matrix(encode.centers_of(d, 16))
+    return _center_rows(spark, train.StochasticTrainer(d, 200, 1, 16, seed=1, centers=centers, scale=0.1, update_parallel=True).run(2).centers)
 
 
 def ransac_init(spark, sf_dir):
-    d = _data(spark, sf_dir)
-    return _summary(spark, "ransac", _given(d), train.DistributedTrainer(d, 16, init_ransac=True, ransac_pairs_per_bit=50))
+    return _center_rows(spark, train.DistributedTrainer(_data(spark, sf_dir), 4, init_ransac=True, ransac_pairs_per_bit=5, ransac_sub_sample=200).centers)
 
 
 def greedy_init(spark, sf_dir):
+    return _center_rows(spark, train.DistributedTrainer(_data(spark, sf_dir), 3, init_greedy=True).centers)
+
+
+def train_gain(spark, sf_dir):
+    """Mean similarity of two bits before and after training; sampled noise, so without SQL."""
     d = _data(spark, sf_dir)
-    return _summary(spark, "greedy", _given(d, 8), train.DistributedTrainer(d, 8, init_greedy=True))
+    off = lambda t: float(t.sim_mat.sum() / (t.n_bits * (t.n_bits - 1)))
+    make = lambda: train.StochasticTrainer(d, 300, 64, 32, noise_std=0.001, scale=0.1, seed=1)
+    return spark.createDataFrame([(off(make()), off(make().run(300)))], "mean_before double, mean_after double")
+
+
+def greedy_pair(spark, sf_dir):
+    """The data row nearest to row 0 by its code, other than itself: the choice that greedy initialisation makes."""
+    c = _codes(_data(spark, sf_dir))
+    near = knn.k_smallest_hamming(c, c.where("vec_id = 0"), 2)
+    return near.where("neighbor_id <> 0").agg(F.min(F.struct("dist", "neighbor_id")).alias("m")).select("m.neighbor_id", "m.dist")
 
 
 def epoch_sample(spark, sf_dir):
-    """Draws over one epoch and a half: how often each id came."""
+    """Draws over one epoch and a half, in their order."""
     d = _data(spark, sf_dir)
     n = d.count()
-    drawn = sampling.draw(d, 0, n + n // 2, seed=3)
-    return drawn.groupBy((F.col("draw") >= n).alias("second")).agg(F.count("*").alias("draws"), F.countDistinct("vec_id").alias("ids"), F.countDistinct("draw").alias("places"))
+    return sampling.draw(d, 0, n + n // 2, seed=3)
 
 
 def kernels(spark, sf_dir):
@@ -309,13 +332,95 @@ def row_access(spark, sf_dir):
     d = _data(spark, sf_dir)
     some = source.get_rows(d, [7, 3, 3, 499, 0]).select(F.concat(F.lit("set "), F.col("pos").cast("string")).alias("what"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
     part = source.get_rows_slice(d, 100, 104).select(F.lit("slice").alias("what"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    return some.unionByName(part).withColumn("x", F.round("x", 6)).withColumn("cols", F.lit(source.n_cols(d)))
+    one = source.get_row(d, 42).select(F.lit("row").alias("what"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    return some.unionByName(part).unionByName(one).withColumn("x", F.round("x", 6)).withColumn("cols", F.lit(source.n_cols(d)))
+
+
+def half_precision(spark, sf_dir):
+    d = source.quantise_half(_data(spark, sf_dir))
+    at = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 9)
+    return d.select("vec_id", at(0).alias("x0"), at(63).alias("x63"))
+
+
+def numpy_round_trip(spark, sf_dir):
+    """Rows to a matrix, stored and read again as a table, and back."""
+    ids, x = source.to_numpy(_data(spark, sf_dir).where("vec_id < 50"), dtype=np.float32)
+    path = scratch_dir(spark)
+    source.write_vectors(source.from_numpy(spark, x, first_id=int(ids[0])), f"file://{path}")
+    d = source.read_vectors(spark, f"file://{path}")
+    return d.select("vec_id", F.round(F.get("embedding", F.lit(7)).cast("double"), 6).alias("x7"), F.size("embedding").alias("cols"))
+
+
+def words_128(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    wide = lambda first: encode.encode(d, encode.center_matrix(encode.centers_of(d, 100, first)), 128, keep=["vec_id"])
+    a, b, i = F.col("code"), F.col("other"), (F.col("vec_id") % 140).cast("int")
+    c = wide(0).join(wide(100).withColumnRenamed("code", "other"), "vec_id")
+    return c.select(
+        "vec_id",
+        bits.size_bits(a, 128).alias("size"),
+        F.coalesce(bits.get_bit(a, i, 128).cast("int"), F.lit(-1)).alias("bit"),
+        bits.count_bits_range_unchecked(a, 50, 90, 128).cast("long").alias("middle"),
+        bits.hamming(a, b).cast("long").alias("dist"),
+        bits.count_bits(bits.flip_bit(a, i, 128)).cast("long").alias("flipped"),
+        bits.count_bits(bits.not_code(a, 128)).cast("long").alias("zeros"),
+        bits.count_bits(bits.ones(40, 128)).cast("long").alias("ones"),
+        bits.hamming(bits.repack(bits.repack(a, 128, 16), 16, 128), a).cast("long").alias("repacked"),
+    )
+
+
+def signed_words(spark, sf_dir):
+    """Codes in signed 16-bit words, made of the ids."""
+    ids = np.array([r["vec_id"] for r in _data(spark, sf_dir).where("vec_id < 200").select("vec_id").orderBy("vec_id").collect()])
+    words = ((ids[:, None] * 7919 + np.arange(4) * 104729) % 65536 - 32768).astype(np.int16)
+    c = source.from_numpy(spark, words, name="code")
+    return c.select("vec_id", F.get("code", F.lit(0)).alias("w0"), F.get("code", F.lit(3)).alias("w3"), bits.count_bits(F.col("code")).cast("long").alias("ones"))
+
+
+def _files(spark, sf_dir, n_codes=2):
+    """The vectors and their codes as data sets of a matrix store, written by `encode_file`."""
+    d, s, path = _data(spark, sf_dir), SketchSearch(spark), scratch_dir(spark)
+    hdf5.store_hdf5(d, path, "emb")
+    for name, n, first in [("code", 64, 0), ("c1", 32, 0), ("c2", 64, 32)][: 1 if n_codes < 2 else 3]:
+        s.encode_file((path, "emb"), encode.center_matrix(encode.centers_of(d, n, first)), (path, name), W)
+    return d, s, path
+
+
+def matrix_encode(spark, sf_dir):
+    _, s, path = _files(spark, sf_dir, 1)
+    return _words(s.codes((path, "code")))
+
+
+def matrix_query(spark, sf_dir):
+    d, s, path = _files(spark, sf_dir, 1)
+    return s.query((path, "emb"), (path, "code"), _asked(d), _asked(s.codes((path, "code"))), 10, 50).withColumn("dot", F.round("dot", 6))
+
+
+def matrix_cascade(spark, sf_dir):
+    d, s, path = _files(spark, sf_dir)
+    codes = [(path, "c1"), (path, "c2")]
+    return s.query_cascade((path, "emb"), codes, _asked(d), [_asked(s.codes(c)) for c in codes], 10, [100, 30]).withColumn("dot", F.round("dot", 6))
+
+
+def matrix_refine(spark, sf_dir):
+    d, s, path = _files(spark, sf_dir, 1)
+    found = s.k_smallest_hamming((path, "code"), _asked(s.codes((path, "code"))), 50)
+    return s.refine((path, "emb"), _asked(d), found, 10).withColumn("dot", F.round("dot", 6))
+
+
+def encode_stream(spark, sf_dir):
+    """The codes of a stream of vectors, as its sink has them."""
+    d, path = _data(spark, sf_dir), f"file://{scratch_dir(spark)}"
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/embeddings.parquet*")
+    streaming.encode_stream(stream.select("vec_id", "embedding"), encode.center_matrix(encode.centers_of(d, 64)), f"{path}/out", f"{path}/checkpoint", W).awaitTermination()
+    return _words(spark.read.parquet(f"{path}/out"))
 
 
 QUERIES = [
     dot_topk, dot_topk_sql, encode_arrow, encode_plan, encode_literal, bit_ops, bit_ops_mixed, popcount_range, hamming_topk, hamming_topk_sql, hamming_cascade,
     refine_dot, refine_code, query_single, query_cascade, recall_pairs, recall_codes, recall_predictions, recall_end_to_end, index_assign, index_nodes, index_knn, index_range,
-    overlap_stats, sim_sums, train_step, greedy_pair, train_run, stochastic_run, ransac_init, greedy_init, epoch_sample, kernels, cross_prods, zip_prods, normalise, row_access,
+    index_cost, index_tree, overlap_stats, sim_sums, train_step, train_step_all, greedy_pair, train_run, stochastic_run, ransac_init, greedy_init, train_gain, epoch_sample, kernels, cross_prods, zip_prods, normalise, row_access,
+    half_precision, numpy_round_trip, words_128, signed_words, matrix_encode, matrix_query, matrix_cascade, matrix_refine, encode_stream,
 ]
 
 
@@ -377,7 +482,80 @@ _LAYERS = ", ".join(
 )
 _PATHS = f"{_H}, l as (select vec_id, {_LAYERS} from c)"
 _STATS = "b as (select vec_id, i, (code[i // 32 + 1] >> (i % 32)::int) & 1 as bit from c, generate_series(0, 63) g(i)), st as (select x.i, y.i as j, count(*) filter (where x.bit = y.bit) as overlap, abs(count(*) filter (where x.bit = y.bit) / count(*)::double - 0.5) as sim from b x join b y using (vec_id) where x.i <> y.i group by 1, 2)"
-_AT = "(code[{0} // 32 + 1])"
+_LEAST = [
+    f"greatest([0, {', '.join(map(str, _BOUNDS[:-1]))}][p.b{i} + 1] - q.n{i}, q.n{i} + 1 - [{', '.join(map(str, _BOUNDS[:-1]))}, {LAYER + 1}][p.b{i} + 1], 0)" for i in range(4)
+]
+_COUNTS = ", ".join(f"bit_count((code[{i // 2 + 1}] >> {16 * (i % 2)}) & 65535)::int as n{i}" for i in range(4))
+
+
+def _sql_draws(name: str, seed: int, epoch: int = 0) -> str:
+    """name(vec_id, v, pos): the order of an epoch."""
+    key = f"('0x' || substr(md5('{seed}:{epoch}:' || vec_id), 1, 13))::bigint"
+    return f"{name} as materialized (select vec_id, v, row_number() over (order by {key}, vec_id) - 1 as pos from e)"
+
+
+def _sql_step(k: int, data: str, everyone: bool, choice: int | None = None, scale: float = 0.1) -> list[str]:
+    """From centers c<k>(i, v) to c<k+1>. choice: which center of the most similar pair moves; None: all do."""
+    nearest = f"(select i, j, eq from (select *, row_number() over (partition by i order by abs(eq - 0.5) desc, j) as r from st{k}) where r = 1)"
+    moved = "" if choice is None else f"where p.i = (select {'ij'[choice]} from st{k} where i < j order by abs(eq - 0.5) desc, i, j limit 1)"
+    return [
+        f"b{k} as materialized (select x.vec_id, c.i, list_dot_product(x.v, c.v) >= 0 as bit from {data} x, c{k} c)",
+        f"st{k} as materialized (select x.i, y.i as j, count(*) filter (where x.bit = y.bit) / count(*)::double as eq from b{k} x join b{k} y using (vec_id) where x.i <> y.i group by 1, 2)",
+        f"u{k} as (select p.i, p.j, d, a.v[d] as x, a.v[d] * list_dot_product(a.v, o.v) - o.v[d] as y, tan((2 * eq - 1) * pi() / 2 * {scale}) as f from {f'st{k}' if everyone else nearest} p "
+        f"join c{k} a on a.i = p.i join c{k} o on o.i = p.j, generate_series(1, 64) g(d) {moved})",
+        f"z{k} as (select i, d, any_value(x) + sum(y / ny * f) as z from (select *, sqrt(sum(y * y) over (partition by i, j)) as ny from u{k}) group by i, d)",
+        f"m{k} as materialized (select i, list(z / nz order by d) as v from (select *, sqrt(sum(z * z) over (partition by i)) as nz from z{k}) group by i)",
+        f"c{k + 1} as materialized (select i, v from m{k} union all select i, v from c{k} where i not in (select i from m{k}))",
+    ]
+
+
+_FIRST_16 = "c0 as materialized (select vec_id as i, v from e where vec_id < 16)"
+
+
+def _sql_centers(ctes: list[str], last: str) -> str:
+    return f"with {', '.join([_E, *ctes])} select i::int as bit_idx, (d - 1)::int as dim, round(v[d], 6) as value from {last}, generate_series(1, 64) g(d)"
+
+
+def _sql_unit(a: str, b: str) -> str:
+    apart = f"list_transform(list_zip({a}, {b}), lambda t: t[1] - t[2])"
+    return f"list_transform({apart}, lambda x: x / sqrt(list_dot_product({apart}, {apart})))"
+
+
+def _sql_ransac(n_bits: int, pairs: int, sample: int) -> str:
+    ctes = [_sql_draws("pool", 1), _sql_draws("epoch", 0), f"s as materialized (select pos, v from epoch where pos < {sample})"]
+    for b in range(n_bits):
+        ctes.append(f"k{b} as materialized (select a.pos // 2 - {b * pairs} as t, {_sql_unit('a.v', 'o.v')} as v from pool a join pool o on o.pos = a.pos + 1 where a.pos % 2 = 0 and a.pos // 2 between {b * pairs} and {(b + 1) * pairs - 1})")
+        ctes.append(f"g{b} as materialized (select t, pos, list_dot_product(s.v, k{b}.v) >= 0 as bit from s, k{b})")
+        if b:
+            one = " union all ".join(f"select t, abs(2 * count(*) filter (where x.bit = y.bit) - count(*)) as w from g{b} x join h{a} y using (pos) group by t" for a in range(b))
+            ctes.append(f"p{b} as materialized (select t from ({one}) group by t order by max(w), t limit 1)")
+        else:
+            ctes.append("p0 as (select 0 as t)")
+        ctes.append(f"h{b} as materialized (select pos, bit from g{b} where t = (select t from p{b}))")
+    ctes.append("c as (" + " union all ".join(f"select {b} as i, v from k{b} where t = (select t from p{b})" for b in range(n_bits)) + ")")
+    return _sql_centers(ctes, "c")
+
+
+def _sql_greedy(n_bits: int, points: int = 20) -> str:
+    ctes = []
+    for b in range(n_bits):
+        dist = " + ".join(["0", *(f"((list_dot_product(x.v, (select v from c{a})) >= 0) <> (list_dot_product(p.v, (select v from c{a})) >= 0))::int" for a in range(b))])
+        ctes.append(_sql_draws(f"o{b}", b))
+        ctes.append(f"n{b} as materialized (select p.v as a, x.v as b, {dist} as apart from o{b} p, e x where p.pos < {points} and p.v <> x.v order by apart, p.pos, x.vec_id limit 1)")
+        ctes.append(f"c{b} as materialized (select {_sql_unit('a', 'b')} as v from n{b})")
+    ctes.append("c as (" + " union all ".join(f"select {b} as i, v from c{b}" for b in range(n_bits)) + ")")
+    return _sql_centers(ctes, "c")
+
+
+def _sql_half(x: str) -> str:
+    step = f"(case when abs({x}) < pow(2, -14) then pow(2, -24) else pow(2, floor(log2(abs({x}))) - 10) end)"
+    return f"round(case when {x} = 0 then 0 else round_even({x} / {step}, 0) * {step} end, 9)"
+
+
+def _choices(seed: int, n: int) -> list[int]:
+    """Which center of a pair moves in each step of a trainer with this seed."""
+    rng = np.random.default_rng(seed)
+    return [int(rng.integers(2)) for _ in range(n)]
 
 
 def oracle_sql() -> dict[str, str]:
@@ -409,14 +587,30 @@ def oracle_sql() -> dict[str, str]:
         "index_range": f"{_H}, t as (select * from ({_sql_hamming_pairs('c', 2)}) where dist <= 24) select query_id, row_number() over (partition by query_id order by dist, neighbor_id)::int as rank, neighbor_id, dist from t",
         "overlap_stats": f"{_H}, {_STATS} select i::int as i, j::int as j, overlap, round(sim, 9) as sim from st",
         "sim_sums": f"{_H}, {_STATS} select i::int as i, round(sum(sim), 6) as sim_sum from st group by 1",
-        "train_step": f"""with {_E}, {_sql_codes("c", 16, 0)}, b as (select vec_id, i, (code[1] >> i::int) & 1 as bit from c, generate_series(0, 15) g(i)),
-            st as (select x.i, y.i as j, count(*) filter (where x.bit = y.bit) / count(*)::double as eq from b x join b y using (vec_id) where x.i <> y.i group by 1, 2),
-            pick as (select i, j, eq from (select *, row_number() over (partition by i order by abs(eq - 0.5) desc, j) as r from st) where r = 1),
-            u as (select p.i, d, a.v[d] as x, a.v[d] * list_dot_product(a.v, o.v) - o.v[d] as y, tan((2 * eq - 1) * pi() / 2 * 0.1) as f from pick p join e a on a.vec_id = p.i join e o on o.vec_id = p.j, generate_series(1, 64) g(d)),
-            m as (select *, x + y / sqrt(sum(y * y) over (partition by i)) * f as z from u)
-            select i::int as bit_idx, (d - 1)::int as dim, round(z / sqrt(sum(z * z) over (partition by i)), 6) as value from m""",
+        "train_step": _sql_centers([_FIRST_16, *_sql_step(0, "e", False)], "c1"),
+        "train_step_all": _sql_centers([_FIRST_16, *_sql_step(0, "e", True)], "c1"),
+        "train_run": _sql_centers([_FIRST_16, *(x for k, c in enumerate(_choices(0, 3)) for x in _sql_step(k, "e", False, c))], "c3"),
+        "stochastic_run": _sql_centers(
+            [_sql_draws("epoch", 1), *(f"s{k} as (select vec_id, v from epoch where pos >= {200 * k} and pos < {200 * k + 200})" for k in range(2)), _FIRST_16, *(x for k in range(2) for x in _sql_step(k, f"s{k}", False))], "c2"
+        ),
+        "ransac_init": _sql_ransac(4, 5, 200),
+        "greedy_init": _sql_greedy(3),
+        "index_cost": f"""{_PATHS}, {_sql_best("t", _sql_hamming_pairs("c", 2), 20, "dist", False)}, u as (select query_id, max(dist) as ub from t group by 1),
+            q as (select vec_id as query_id, {_COUNTS} from c where vec_id % 100 = 0), p as (select b0, b1, b2, b3, count(*) as n from l group by all)
+            select q.query_id, count(*) as leaves, sum(p.n)::bigint as distances from q join u using (query_id), p where {" + ".join(_LEAST)} <= u.ub group by 1""",
+        "index_tree": "select x::int as node, case when x = 0 then -1 else (x - 1) // 4 end::int as parent, case when x = 0 then -1 else (x - 1) % 4 end::int as place, case when x = 0 then 0 when x < 5 then 1 when x < 21 then 2 else 3 end::int as depth, x >= 21 as leaf, (4 * x + 3)::int as third from range(85) t(x)",
+        "half_precision": f"with {_E} select vec_id, {_sql_half('v[1]')} as x0, {_sql_half('v[64]')} as x63 from e",
+        "numpy_round_trip": f"with {_E} select vec_id, round(v[8], 6) as x7, 64::int as cols from e where vec_id < 50",
+        "words_128": f"""with {_E}, b as (select x.vec_id, c.vec_id as i, list_dot_product(x.v, c.v) >= 0 as bit from e x, e c where c.vec_id < 200),
+            z as (select vec_id, list(bit order by i) as a from b group by 1)
+            select vec_id, 128::bigint as size, case when vec_id % 140 < 100 then a[vec_id % 140 + 1]::int when vec_id % 140 < 128 then 0 else -1 end as bit,
+              len(list_filter(a[51:90], lambda x: x))::bigint as middle, len(list_filter(list_zip(a[1:100], a[101:200]), lambda t: t[1] <> t[2]))::bigint as dist,
+              (len(list_filter(a[1:100], lambda x: x)) + case when vec_id % 140 < 100 then (case when a[vec_id % 140 + 1] then -1 else 1 end) when vec_id % 140 < 128 then 1 else 0 end)::bigint as flipped,
+              (128 - len(list_filter(a[1:100], lambda x: x)))::bigint as zeros, 128::bigint as ones, 0::bigint as repacked from z""",
+        "signed_words": """with w as (select vec_id, list_transform(range(4), lambda j: (vec_id * 7919 + j * 104729 + 32768) % 65536) as a from embeddings where vec_id < 200)
+            select vec_id, a[1]::bigint as w0, a[4]::bigint as w3, list_sum(list_transform(a, lambda x: bit_count(x)))::bigint as ones from w""",
         "greedy_pair": f"{_H} select q.vec_id as neighbor_id, {_sql_hamming('q.code', 'p.code', 2)} as dist from c q, c p where p.vec_id = 0 and q.vec_id <> 0 order by 2, 1 limit 1",
-        "epoch_sample": "with n as (select count(*) as n from embeddings) select false as second, n as draws, n as ids, n as places from n union all select true, n // 2, n // 2, n // 2 from n",
+        "epoch_sample": f"with {_E}, {_sql_draws('a', 3)}, {_sql_draws('b', 3, 1)}, n as (select count(*) as n from e) select pos as draw, vec_id from a union all select pos + n, vec_id from b, n where pos < n // 2",
         "kernels": f"""with {_E}, z as (select d.vec_id, d.v as a, o.v as b from e d, e o where o.vec_id = 0),
             y as (select vec_id, list_dot_product(a, b) as p, list_dot_product(a, a) as aa, list_dot_product(b, b) as bb,
                 sqrt(list_sum(list_transform(list_zip(a, b), lambda t: (t[1] - t[2] - 0.5) ** 2))) as dist, list_sum(list_transform(list_zip(a, b), lambda t: (t[1] - t[2]) ** 2)) as sq,
@@ -426,8 +620,9 @@ def oracle_sql() -> dict[str, str]:
         "cross_prods": f"with {_E} select q.vec_id as left_id, count(*) as n, round(sum(list_dot_product(d.v, q.v)), 5) as total from e d, e q where q.vec_id % 100 = 0 group by 1",
         "zip_prods": f"with {_E} select a.vec_id, round(list_dot_product(a.v, b.v), 6) as prod from e a join e b on a.vec_id = b.vec_id + 1",
         "normalise": f"with {_E}, z as (select vec_id, list_transform(v, lambda x: x * 3 + 0.125) as v from e), n as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from z) select vec_id, round(n, 6) as norm, round(v[6] / n, 6) as x5, 1.0::double as unit from n",
-        "row_access": f"with {_E}, r as (select * from (values (0, 7), (1, 3), (2, 3), (3, 499), (4, 0)) t(pos, id)) select 'set ' || pos as what, vec_id, round(v[1], 6) as x, 64::int as cols from r join e on e.vec_id = r.id union all select 'slice', vec_id, round(v[1], 6), 64 from e where vec_id between 100 and 103",
+        "row_access": f"with {_E}, r as (select * from (values (0, 7), (1, 3), (2, 3), (3, 499), (4, 0)) t(pos, id)) select 'set ' || pos as what, vec_id, round(v[1], 6) as x, 64::int as cols from r join e on e.vec_id = r.id union all select 'slice', vec_id, round(v[1], 6), 64 from e where vec_id between 100 and 103 union all select 'row', vec_id, round(v[1], 6), 64 from e where vec_id = 42",
     }
+    out |= {"matrix_encode": out["encode_arrow"], "encode_stream": out["encode_arrow"], "matrix_query": out["refine_dot"], "matrix_refine": out["refine_dot"], "matrix_cascade": out["query_cascade"]}
     out |= {"dot_topk_sql": out["dot_topk"], "encode_plan": out["encode_arrow"], "hamming_topk_sql": out["hamming_topk"], "query_single": out["refine_dot"], "index_knn": out["hamming_topk"]}
     out |= {k: out["recall_pairs"] for k in ("recall_codes", "recall_predictions", "recall_end_to_end")}
     return out

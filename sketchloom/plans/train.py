@@ -13,12 +13,14 @@ the turning angle is kept below a right angle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import stored_bits
 from ..operators import encode, sampling
 from ..operators.topk import as_matrix
 
@@ -105,24 +107,21 @@ class Trainer:
     def encode(self, data: DataFrame, word_bits: int = 64, **names) -> DataFrame:
         return encode.encode(data, self.centers, word_bits, **names)
 
-    def _init_ransac(self, x: np.ndarray, pairs_per_bit: int) -> None:
-        """Per bit, of some random pair differences that whose worst agreement with the bits so far is nearest to 1/2."""
+    def _init_ransac(self, x: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], pairs_per_bit: int) -> None:
+        """Per bit, of some pair differences that whose worst agreement with the bits so far, over x, is nearest to 1/2."""
         chosen, bits = [], np.zeros((0, len(x)), np.float32)
         for _ in range(self.n_bits):
             best = None
-            for _ in range(pairs_per_bit):
-                a, b = self.rng.choice(len(x), 2, replace=False) if len(x) > 1 else (0, 0)
-                c = x[a] - x[b]
+            for a, b in islice(pairs, pairs_per_bit):
+                c = a - b
                 size = np.linalg.norm(c)
-                if size == 0:
+                if size == 0 or (best is not None and not len(bits)):
                     continue
                 c = c / size
                 sign = np.where(x @ c >= 0, 1, -1).astype(np.float32)
-                worst = float(np.abs((bits @ sign / len(x) + 1) / 2 - 0.5).max()) if len(bits) else 0.0
+                worst = float(np.abs(bits.astype(np.float64) @ sign).max()) if len(bits) else 0.0  # twice the agreements less n
                 if best is None or worst < best[0]:
                     best = (worst, c, sign)
-                if not len(bits):
-                    break
             if best is None:  # only coincident points: any direction will do
                 c = self.rng.standard_normal(x.shape[1])
                 best = (0.0, c / np.linalg.norm(c), np.ones(len(x), np.float32))
@@ -130,6 +129,11 @@ class Trainer:
             bits = np.vstack([bits, best[2]])
         self.centers = np.array(chosen)
 
+    def _random_pairs(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while True:
+            a, b = self.rng.choice(len(x), 2, replace=False) if len(x) > 1 else (0, 0)
+            yield x[a], x[b]
+
 
 class LocalTrainer(Trainer):
     """Over a matrix in memory (a bounded sample)."""
@@ -161,7 +165,7 @@ class LocalTrainer(Trainer):
             self._init_greedy()
         elif init_ransac:
             some = self.x[self.rng.permutation(self.n_data)[: min(ransac_sub_sample, self.n_data)]]
-            self._init_ransac(some, ransac_pairs_per_bit)
+            self._init_ransac(some, self._random_pairs(self.x), ransac_pairs_per_bit)
         self.refresh()
 
     def _signs(self, rows: np.ndarray) -> np.ndarray:
@@ -211,8 +215,9 @@ class DistributedTrainer(Trainer):
         init_ransac: bool = False,
         ransac_pairs_per_bit: int = 200,
         ransac_sub_sample: int = 2000,
-        update_parallel: bool = True,
-        displace_parallel: bool = True,
+        ransac_pool: int = 20_000,
+        update_parallel: bool = False,
+        displace_parallel: bool = False,
         seed: int = 0,
         data_id: str = "vec_id",
         embedding: str = "embedding",
@@ -227,7 +232,11 @@ class DistributedTrainer(Trainer):
         elif init_greedy:
             self._init_greedy(seed)
         elif init_ransac:
-            self._init_ransac(self._rows(min(ransac_sub_sample, self.n_data), seed), ransac_pairs_per_bit)
+            # points of pairs are drawn from all rows, each once before any comes again; what the driver holds is bounded
+            wanted = 2 * ransac_pairs_per_bit * n_bits
+            pool = self._rows(min(wanted, ransac_pool), seed + 1)
+            pairs = zip(pool[0::2], pool[1::2], strict=False) if len(pool) == wanted else self._random_pairs(pool)
+            self._init_ransac(self._rows(min(ransac_sub_sample, self.n_data), seed), iter(pairs), ransac_pairs_per_bit)
         else:
             some = self._rows(min(n_bits, self.n_data), seed)
             self.centers = some[np.arange(n_bits) % len(some)]
@@ -337,24 +346,24 @@ class StochasticTrainer:
         return getattr(self.inner, name)
 
 
-def bit_columns(codes: DataFrame, n_bits: int, word_bits: int = 64, data_id: str = "vec_id", code: str = "code") -> DataFrame:
-    """Transposed bits: bit_idx, block, word, where bit j of a word is row 32 * block + j."""
-    one = F.lit(1).cast("long")
-    at = F.explode(F.sequence(F.lit(0), F.lit(n_bits - 1))).alias("bit_idx")
-    rows = codes.select(F.col(data_id).alias("id"), F.col(code).alias("code"), at)
-    bit = F.call_function("shiftrightunsigned", F.get("code", F.floor(F.col("bit_idx") / word_bits).cast("int")), F.col("bit_idx") % word_bits).bitwiseAND(one)
-    word = F.bit_or(F.call_function("shiftleft", bit, (F.col("id") % 32).cast("int"))).alias("word")
-    return rows.groupBy("bit_idx", F.floor(F.col("id") / 32).alias("block")).agg(word)
-
-
-def overlap_stats(codes: DataFrame, n_bits: int, n_data: int, word_bits: int = 64, data_id: str = "vec_id", code: str = "code") -> DataFrame:
-    """i, j, overlap, sim for every two bits, from an equi-join of the transposed bits on their block."""
-    cols = bit_columns(codes, n_bits, word_bits, data_id, code)
-    a = cols.select(F.col("bit_idx").alias("i"), "block", F.col("word").alias("x"))
-    b = cols.select(F.col("bit_idx").alias("j"), "block", F.col("word").alias("y"))
-    apart = a.join(b, "block").where("i <> j").groupBy("i", "j").agg(F.sum(F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).alias("d"))
-    overlap = (F.lit(n_data) - F.col("d")).cast("long")
-    return apart.select("i", "j", overlap.alias("overlap"), F.abs(overlap / F.lit(float(n_data)) - 0.5).alias("sim"))
+def overlap_stats(codes: DataFrame, n_bits: int, n_data: int, word_bits: int = 64, code: str = "code") -> DataFrame:
+    """i, j, overlap, sim for every two bits: one scan, a matrix product for each batch, a matrix of counts from each task."""
+    width = stored_bits(word_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_bits, n_bits), np.int64)
+        for batch in batches:
+            words = as_matrix(batch.column("code"), np.int64)
+            if len(words):
+                raw = words.astype(f"<u{width // 8}", casting="unsafe") if width < 64 else words
+                s = np.unpackbits(np.ascontiguousarray(raw).view(np.uint8), axis=1, bitorder="little")[:, :n_bits].astype(np.float64) * 2 - 1
+                total += ((len(s) + np.rint(s.T @ s)) / 2).astype(np.int64)
+        i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(i.ravel().astype(np.int32)), "j": pa.array(j.ravel().astype(np.int32)), "n": pa.array(total.ravel())})
+
+    counts = codes.where(F.col(code).isNotNull()).select(F.col(code).alias("code")).mapInArrow(run, "i int, j int, n long")
+    overlap = F.sum("n").cast("long")
+    return counts.where("i <> j").groupBy("i", "j").agg(overlap.alias("overlap"), F.abs(overlap / F.lit(float(n_data)) - 0.5).alias("sim"))
 
 
 def sim_sums(stats: DataFrame) -> DataFrame:

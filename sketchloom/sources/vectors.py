@@ -19,6 +19,10 @@ ELEMENT_TYPES = {
     "uint16": "bigint",
     "uint32": "bigint",
     "uint64": "bigint",
+    "int8": "bigint",
+    "int16": "bigint",
+    "int32": "bigint",
+    "int64": "bigint",
 }
 
 
@@ -34,8 +38,13 @@ def read_vectors(spark: SparkSession, path: str, data_id: str = "vec_id", embedd
 
 
 def from_numpy(spark: SparkSession, x: np.ndarray, first_id: int = 0, name: str = "embedding") -> DataFrame:
-    """Rows of a matrix, ids counted from first_id. Half floats become floats; unsigned words keep their bits."""
+    """Rows of a matrix, ids counted from first_id. Half floats become floats; words keep their bits.
+
+    Words may be signed: their bits are read as those of the unsigned word of the same width. A matrix of 128-bit words
+    has two columns of 64 bits for each, the low half first.
+    """
     kind = spark_type(x.dtype)
+    x = x.view(f"u{x.dtype.itemsize}") if x.dtype.kind == "i" else x
     rows = x.astype(np.float32) if x.dtype == np.float16 else x.view(np.int64) if x.dtype == np.uint64 else x
     pdf = pd.DataFrame({"vec_id": np.arange(first_id, first_id + len(x), dtype=np.int64), name: [r.tolist() for r in rows]})
     return spark.createDataFrame(pdf, f"vec_id long, {name} array<{kind}>")

@@ -163,3 +163,59 @@ def test_kernels(spark):
     w = vectors.zip_prods(df, df, "a", "b", "i").orderBy("i").collect()
     assert np.allclose([r["prod"] for r in w], (a * b).sum(1))
     assert vectors.cross_prods(df, df, "i", "i", "a", "b").count() == 9
+
+
+def test_many_queries_are_streamed_past_blocks(spark):
+    from sketchloom.operators import topk
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 6))
+    x[5:9] = x[4]
+    d = source.from_numpy(spark, x).repartition(3)
+    few = knn.k_largest_dot(d, d, 4).orderBy("query_id", "rank").collect()
+    q = spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for rows in (1 << 18, 60):
+        many = topk.scan_topk(d, "vec_id", "embedding", q, "vec_id", "embedding", 4, knn._dots, knn._pair_dots, True, np.float64, "dot", "double", query_block=50, block_rows=rows)
+        assert many.orderBy("query_id", "rank").collect() == few
+    assert len(few) == 2800
+
+
+def test_leaf_scan_and_joins_agree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 8))
+    codes = encode.encode(source.from_numpy(spark, x), rng.standard_normal((90, 8)), 128).repartition(4)
+    built = index.CodeIndex.build(codes, 30, 5, 128, 128)
+    asked = codes.where("vec_id % 50 = 3")
+    results = []
+    for most in (2048, 5):
+        monkeypatch.setattr(index, "QUERY_BLOCK", most)
+        results.append([[tuple(r) for r in df.orderBy("query_id", "rank").collect()] for df in (built.knn(asked, 7), built.within(asked, 12), built.knn(asked, 2000))])
+    assert results[0] == results[1]
+    brute = knn.k_smallest_hamming(codes, asked, 7).orderBy("query_id", "rank").collect()
+    assert results[0][0] == [tuple(r) for r in brute] and len(results[0][2]) == 900 * 18
+    cost = {r["query_id"]: r for r in built.knn_cost(asked, 7).collect()}
+    assert len(cost) == 18 and all(7 <= r["distances"] <= 900 for r in cost.values())
+
+
+@pytest.mark.parametrize("word_bits", [32, 64, 128])
+def test_hamming_distances_with_the_highest_bit_set(spark, word_bits):
+    rng = np.random.default_rng(9)
+    x, c = rng.standard_normal((300, 7)), rng.standard_normal((128, 7))
+    codes = encode.encode(source.from_numpy(spark, x), c, word_bits)
+    bit = x @ c.T >= 0
+    d = (bit[:, None] != bit[None]).sum(2)
+    want = {(q, r + 1, i, d[q, i]) for q in (0, 50) for r, i in enumerate(sorted(range(300), key=lambda i: (d[q, i], i))[:9])}
+    for method in ("arrow", "sql"):
+        assert {tuple(r) for r in knn.k_smallest_hamming(codes, codes.where("vec_id in (0, 50)"), 9, method=method).collect()} == want
+
+
+def test_draws_rank_only_the_buckets_they_need(spark, monkeypatch):
+    d = spark.range(1000).selectExpr("id as vec_id")
+    whole = {r["draw"]: r["vec_id"] for r in sampling.draw(d, 0, 2300, seed=5).collect()}
+    assert sorted(whole) == list(range(2300)) and all(sorted(whole[e * 1000 + i] for i in range(1000)) == list(range(1000)) for e in (0, 1))
+    monkeypatch.setattr(sampling, "bucket_bits", lambda n: 6)
+    assert {r["draw"]: r["vec_id"] for r in sampling.draw(d, 0, 2300, seed=5).collect()} == whole
+    some = sampling.draw(d, 990, 25, seed=5)
+    assert {r["draw"]: r["vec_id"] for r in some.collect()} == {i: whole[i] for i in range(990, 1015)}
+    assert "shiftrightunsigned" in some._jdf.queryExecution().toString()
+    assert sampling.draw(d.where("false"), 0, 5, seed=5).count() == 0

@@ -42,7 +42,7 @@ def test_numpy_round_trip_and_row_access(spark, tmp_path):
     assert np.array_equal(source.to_numpy(source.from_numpy(spark, w, name="code"), "code", dtype=np.uint64)[1], w)
     assert source.from_numpy(spark, x.astype(np.float16)).dtypes[1] == ("embedding", "array<float>")
     with pytest.raises(ValueError):
-        source.spark_type(np.int32)
+        source.spark_type(np.complex64)
     source.write_vectors(d, f"{tmp_path}/v")
     back = source.read_vectors(spark, f"{tmp_path}/v")
     assert back.count() == 20
@@ -79,3 +79,21 @@ def test_streamed_codes_equal_batch_codes(spark, tmp_path):
     encode_stream(stream, c, f"{tmp_path}/out", f"{tmp_path}/cp", 8).awaitTermination(120)
     got = {r["vec_id"]: r["code"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {r["vec_id"]: r["code"] for r in encode.encode(d, c, 8).collect()}
+
+
+def test_matrix_store_through_the_data_source(spark, tmp_path):
+    x = np.random.default_rng(0).standard_normal((250, 5)).astype(np.float32)
+    path = f"{tmp_path}/store"
+    hdf5.store_hdf5(source.from_numpy(spark, x), path, "emb", block=40)
+    back = hdf5.read_hdf5(spark, path, "emb", rows_per_partition=60, batch_size=7)
+    assert back.rdd.getNumPartitions() == 5 and np.array_equal(source.to_numpy(back)[1].astype(np.float32), x)
+    w = np.array([[2**64 - 1, 5], [0, 2**63]], np.uint64)
+    hdf5.store_hdf5(source.from_numpy(spark, w, name="code"), path, "code", embedding="code", dtype="i8")
+    codes = hdf5.read_hdf5(spark, path, "code", kind="code")
+    assert codes.columns == ["vec_id", "code"] and np.array_equal(source.to_numpy(codes, "code", dtype=np.uint64)[1], w)
+    small = hdf5.FolderStore(path).create_dataset("signed", (2, 2), "i2")
+    small[:] = [[-1, 5], [-32768, 0]]
+    small.flush()
+    assert [r["code"] for r in hdf5.read_hdf5(spark, path, "signed", kind="code").orderBy("vec_id").collect()] == [[65535, 5], [32768, 0]]
+    signed = source.from_numpy(spark, np.array([[-1, 5], [-128, 0]], np.int8), name="code")
+    assert [r["code"] for r in signed.orderBy("vec_id").collect()] == [[255, 5], [128, 0]]

@@ -22,7 +22,7 @@ def mean_sim(x, centers):
 def test_local_and_distributed_agree(data):
     df, x = data
     a = train.LocalTrainer(x, 8, scale=0.05, centers=x[:8], update_parallel=True, displace_parallel=True)
-    b = train.DistributedTrainer(df, 8, scale=0.05, centers=x[:8])
+    b = train.DistributedTrainer(df, 8, scale=0.05, centers=x[:8], update_parallel=True, displace_parallel=True)
     assert np.array_equal(a.overlap_mat, b.overlap_mat) and a.overlap_mat[0, 0] == 500
     a.run(3), b.run(3)
     assert np.allclose(a.centers, b.centers) and np.array_equal(a.overlap_mat, b.overlap_mat)
