@@ -22,8 +22,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for those in the template's first document; n_chars follows the text."""
-    out = lines.drop_recurring_lines(docs, keep_first=True)
+    """Lines of recurring templates go, but for those in the template's first document; n_chars follows the text.
+
+    A long passage needs as many documents as any line here: what only a few share are mostly copies, which the next
+    stage takes out whole. Cut by this stage, their remains would no longer be found alike.
+    """
+    tree = lines.TemplateTree(long_docs=lines.TemplateTree.min_docs)
+    out = lines.drop_recurring_lines(docs, keep_first=True, tree=tree)
     n_chars = F.when(F.col(out.columns[-1]) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
