@@ -130,6 +130,23 @@ from p join g on p.h = g.body
 """
 
 
+#: Every string of 200 bytes, in hexadecimal digits; runs of removed bytes from the strings that start twice.
+OP4 = r"""
+with d as (select row_number() over () as uid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select uid, 1024 * j as base, h[2048 * j + 1:2048 * j + 2446] as p from (select uid, h, unnest(range(0, len(h) // 2048 + 1)) as j from d where len(h) >= 400)),
+w as (select uid, base + i as i, md5(p[2 * i + 1:2 * i + 400]) as k from (select uid, base, p, unnest(range(0, least(1024, len(p) // 2 - 199))) as i from c where len(p) >= 400)),
+r as (select uid, i from w where k in (select k from w group by k having count(*) > 1)),
+g as (select uid, i, sum(new) over (partition by uid order by i) as run from (select uid, i, case when i - lag(i) over (partition by uid order by i) <= 200 then 0 else 1 end as new from r)),
+x as (select uid, min(i) as a, max(i) + 200 as b from g group by uid, run),
+y as (select uid, a, b, coalesce(lag(b) over (partition by uid order by a), 0) as before from x),
+z as (
+  select y.uid, count(*) as n_spans, sum(b - a) as n_removed, string_agg(h[2 * before + 1:2 * a], '' order by a) || any_value(h)[2 * max(b) + 1:] as kept
+  from y join d using (uid) group by 1
+)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join z using (uid)
+"""
+
 #: The true neighbours; the operator's radius is measured on all queries where they are few, so it finds them all there.
 OP9 = r"""
 with e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null),
@@ -140,4 +157,4 @@ select query_id, rank, vec_id, score from (select *, row_number() over (partitio
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op5_line_dedup": OP5, "op8_warc": OP8, "op9_nearest": OP9, "op10_chat_format": OP10}
+    return {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op4_suffix_dedup": OP4, "op5_line_dedup": OP5, "op8_warc": OP8, "op9_nearest": OP9, "op10_chat_format": OP10}
